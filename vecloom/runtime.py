@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -87,3 +88,12 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     df.write.parquet(path)
     _remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a broadcast may have; beyond, the join shuffles both sides.
+BROADCAST_ROWS = 500_000
+
+
+def fitting_join(left: DataFrame, right: DataFrame, on, how: str = "left") -> DataFrame:
+    """Join with ``right`` broadcast if it is counted to be small, by shuffle otherwise. ``right`` should be staged."""
+    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
