@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, packing, quality_rules, warc
+from . import bpe, maxscore, packing, pii, quality_rules, warc
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +30,17 @@ def op8_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_pii_spans": op1_pii_spans,
+    "op10_maxscore_topk": op10_maxscore_topk,
     "op8_warc_chunks": op8_warc_chunks,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op9_byte_bpe": op9_byte_bpe,
@@ -37,5 +48,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op10_maxscore_topk": maxscore.SQL,
     "op8_warc_chunks": warc.SQL,
 }

@@ -271,7 +271,7 @@ SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
 f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
 SELECT p.page_id AS page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes,
-  array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     CAST(1 + ((CAST(('0x' || substr(p.x, CAST(5 * (i // 4) + 1 AS BIGINT), 5)) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest,
   CASE WHEN p.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN p.page_id = f.first THEN NULL ELSE f.first END AS refers_to
