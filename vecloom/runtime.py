@@ -45,6 +45,11 @@ def remote(func: Callable, *args, **kwargs) -> Callable:
     return call
 
 
+def remote1(func: Callable, *args, **kwargs) -> Callable:
+    """As ``remote``, for applyInArrow, which counts a function's parameters."""
+    return remote(func, *args, **kwargs)
+
+
 def remote2(func: Callable, *args, **kwargs) -> Callable:
     """As ``remote``, for the two tables of a cogroup."""
     module, name, root = func.__module__, func.__qualname__, ROOT
