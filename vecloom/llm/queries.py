@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, maxscore, packing, pii, quality_rules, warc
+from . import bpe, maxscore, packing, pii, quality_rules, setsketch, warc
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,12 @@ def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op3_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.classes(table(spark, sf_dir, "documents"), percent=85)
+
+
 QUERIES = {
+    "op3_setsketch_dedup": op3_setsketch_dedup,
     "op1_pii_spans": op1_pii_spans,
     "op10_maxscore_topk": op10_maxscore_topk,
     "op8_warc_chunks": op8_warc_chunks,
