@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, maxscore, packing, pii, quality_rules, setsketch, warc
+from . import bpe, lines, maxscore, packing, pii, quality_rules, setsketch, warc
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,12 @@ def op3_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.classes(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op7_fuzzy_lines": op7_fuzzy_lines,
     "op3_setsketch_dedup": op3_setsketch_dedup,
     "op1_pii_spans": op1_pii_spans,
     "op10_maxscore_topk": op10_maxscore_topk,
