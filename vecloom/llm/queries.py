@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, lines, maxscore, packing, pii, quality_rules, setsketch, warc
+from . import bpe, chat, lines, maxscore, packing, pii, quality_rules, setsketch, warc
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,12 @@ def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.messages(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op5_tool_linking": op5_tool_linking,
     "op7_fuzzy_lines": op7_fuzzy_lines,
     "op3_setsketch_dedup": op3_setsketch_dedup,
     "op1_pii_spans": op1_pii_spans,
