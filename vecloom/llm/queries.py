@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, chat, lines, maxscore, packing, pii, quality_rules, setsketch, warc
+from . import bpe, chat, lines, maxscore, packing, pfp, pii, quality_rules, setsketch, warc
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,12 @@ def op5_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.messages(table(spark, sf_dir, "conversations"))
 
 
+def op2_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfp.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_prefix_free_dedup": op2_prefix_free_dedup,
     "op5_tool_linking": op5_tool_linking,
     "op7_fuzzy_lines": op7_fuzzy_lines,
     "op3_setsketch_dedup": op3_setsketch_dedup,
