@@ -252,4 +252,6 @@ def filter_kept(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """The rows that ``judge`` keeps, all columns as they were."""
     held = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
     judged = with_features(held, text="_text", id_col="_row").withColumn("_kept", ~base_failed() & (rules.verdict() == 0))
-    return judged.where("_kept").select("_row.*")
+    # Not a filter: Spark would push it below the projections and compute every feature again within its condition.
+    kept = F.when(F.col("_kept"), F.array("_row")).otherwise(F.array().cast(judged.select(F.array("_row").alias("r")).schema["r"].dataType))
+    return judged.select(F.inline(kept))
