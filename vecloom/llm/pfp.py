@@ -417,3 +417,23 @@ def remove(docs: DataFrame) -> DataFrame:
     joined = _join_packed(numbered, covered(numbered), "left").select(*others, F.col("_base").cast("long"), "text", "n", "data")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others, "text").schema.fields)
     return joined.mapInArrow(remote(remove_batches), kinds)
+
+
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, CAST(2 * p + 1 AS BIGINT), 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(0, n - 49))) AS p FROM d)),
+m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+c AS (SELECT w.doc_id, w.p, CASE WHEN w.p <= lag(w.p) OVER (PARTITION BY w.doc_id ORDER BY w.p) + 50 THEN 0 ELSE 1 END AS fresh
+  FROM w JOIN m ON w.s = m.s WHERE m.first < w.doc_id),
+g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM c),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY doc_id, run),
+k AS (
+  SELECT r.doc_id, r.a AS pos, substr(d.h, CAST(2 * coalesce(lag(r.b) OVER q, 0) + 1 AS BIGINT), CAST(2 * (r.a - coalesce(lag(r.b) OVER q, 0)) AS BIGINT)) AS part
+  FROM r JOIN d ON r.doc_id = d.doc_id WINDOW q AS (PARTITION BY r.doc_id ORDER BY r.a)
+  UNION ALL
+  SELECT d.doc_id, d.n, substr(d.h, CAST(2 * coalesce(max(r.b), 0) + 1 AS BIGINT)) FROM d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id, d.n, d.h),
+s AS (SELECT doc_id, sha256(unhex(string_agg(part, '' ORDER BY pos))) AS kept_sha256 FROM k GROUP BY doc_id),
+t AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT d.doc_id AS doc_id, CAST(d.n AS BIGINT) AS n_bytes, coalesce(t.n_removed, 0) AS n_removed, coalesce(t.n_spans, 0) AS n_spans, s.kept_sha256 AS kept_sha256
+FROM d JOIN s ON s.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""

@@ -68,6 +68,8 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_prefix_free_dedup": pfp.SQL,
+    "op3_setsketch_dedup": setsketch.SQL,
     "op10_maxscore_topk": maxscore.SQL,
     "op8_warc_chunks": warc.SQL,
 }

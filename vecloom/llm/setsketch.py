@@ -242,3 +242,17 @@ def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     _, comp = links(docs, percent, width)
     gone = staged(comp.where("node <> component").select(F.col("node").alias("_gone")), "gone")
     return fitting_join(docs, gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g, len(w) >= 5 AS whole FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s AS a JOIN s AS b ON a.g = b.g AND a.whole = b.whole AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN n AS x ON x.doc_id = p.a JOIN n AS y ON y.doc_id = p.b WHERE 100 * p.both >= 85 * (x.n + y.n - p.both)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT c.doc_id AS doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id AS component_id, c.doc_id = c.component_id AS kept
+FROM c LEFT JOIN n ON n.doc_id = c.doc_id
+"""
