@@ -105,9 +105,14 @@ def _matches(text: Column, pattern: str) -> Column:
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), places)
 
 
+def _ending(m: Column) -> Column:
+    """The last label of an address; of the last 64 characters only, as the search is quadratic in what it reads."""
+    return F.regexp_extract(F.right(m, F.lit(64)), r"([A-Za-z0-9-]+)$", 1)
+
+
 def _shape(kind: str, m: Column) -> Column:
     if kind == "email":
-        end = F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1)
+        end = _ending(m)
         return _vote(end.rlike("^[A-Za-z]{2,10}$"), end.rlike("[0-9]") | (F.length(end) > 24))
     if kind == "ip":
         return _vote(~m.rlike(r"(^|\.)0[0-9]"), m.rlike(r"(^|\.)0[0-9]"))
@@ -119,7 +124,7 @@ def _shape(kind: str, m: Column) -> Column:
 
 def _gazetteer(kind: str, m: Column) -> Column:
     if kind == "email":
-        return _vote(F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1)).isin(*ENDINGS), F.lit(False))
+        return _vote(F.lower(_ending(m)).isin(*ENDINGS), F.lit(False))
     if kind == "ip":
         private = m.rlike(r"^(?:0|10|127|255)\.|^192\.168\.|^169\.254\.|^172\.(?:1[6-9]|2[0-9]|3[01])\.")
         return _vote(~private, private)
