@@ -19,7 +19,7 @@ With only matches to depth 50 asked for, the order of the parse beyond one phras
 the place of the parse's suffix ranks.
 
 Defined results: a null or empty text has no bytes; texts under 50 bytes lose none; rows with a null doc_id lose none and
-cover none; rows that repeat a doc_id are one document (none covers another); extra columns are kept by ``remove`` and
+cover none; rows that repeat a doc_id are one document (none covers another); extra columns are kept by ``remove``, but for names that start with _pfp_, and
 ignored by ``digest``; an empty table gives no rows.
 """
 
@@ -254,7 +254,7 @@ def per_document(table: pa.Table, kind: int) -> pa.Table:
     cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     ends = [*cuts[1:].tolist(), len(doc)]
     data = [_pack(*(np.ascontiguousarray(c[a:b]) for c in columns[1:])) for a, b in zip(cuts.tolist(), ends)]
-    return pa.Table.from_arrays([pa.array(doc[cuts]), pa.array(np.diff([*cuts, len(doc)]).astype(np.int32)), pa.array(data, pa.binary())], ["_id", "n", "data"])
+    return pa.Table.from_arrays([pa.array(doc[cuts]), pa.array(np.diff([*cuts, len(doc)]).astype(np.int32)), pa.array(data, pa.binary())], ["_pfp_id", "_pfp_n", "_pfp_data"])
 
 
 def fetch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,34 +370,34 @@ def remove_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Add ``_base``: 0, or for rows that repeat a doc_id, the number of their text among the document's."""
-    repeated = staged(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again"), "repeated")
+    """Add ``_pfp_base``: 0, or for rows that repeat a doc_id, the number of their text among the document's."""
+    repeated = staged(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_pfp_again")).count().where("count > 1").select("_pfp_again"), "repeated")
     if repeated.isEmpty():
-        return docs.withColumn("_base", F.lit(0))
+        return docs.withColumn("_pfp_base", F.lit(0))
     order = Window.partitionBy("doc_id").orderBy(F.sha2(F.coalesce("text", F.lit("")), 256))
-    again = docs.join(repeated, F.col("doc_id") == F.col("_again"), "left_semi").withColumn("_base", F.dense_rank().over(order) - 1)
-    return docs.join(repeated, F.col("doc_id") == F.col("_again"), "left_anti").withColumn("_base", F.lit(0)).union(again)
+    again = docs.join(repeated, F.col("doc_id") == F.col("_pfp_again"), "left_semi").withColumn("_pfp_base", F.dense_rank().over(order) - 1)
+    return docs.join(repeated, F.col("doc_id") == F.col("_pfp_again"), "left_anti").withColumn("_pfp_base", F.lit(0)).union(again)
 
 
 def _join_packed(left: DataFrame, packed: DataFrame, how: str) -> DataFrame:
     """Join on doc_id; packed data are broadcast if counted to be under 64 MB, else both sides are shuffled."""
-    size = packed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("data") + 64), F.lit(0)).alias("bytes")).first()
+    size = packed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_pfp_data") + 64), F.lit(0)).alias("bytes")).first()
     small = size["n"] <= BROADCAST_ROWS and size["bytes"] <= 64 << 20
-    return left.join(F.broadcast(packed) if small else packed, F.col("doc_id") == F.col("_id"), how)
+    return left.join(F.broadcast(packed) if small else packed, F.col("doc_id") == F.col("_pfp_id"), how)
 
 
-PER_DOCUMENT = "_id long, n int, data binary"
+PER_DOCUMENT = "_pfp_id long, _pfp_n int, _pfp_data binary"
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """(_id, n, data): packed ranges to remove of each document that has any. ``docs``: doc_id, _base, text."""
+    """(_pfp_id, _pfp_n, _pfp_data): packed ranges to remove of each document that has any. ``docs``: doc_id, _pfp_base, text."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(16, max(4, (total // BUCKET_BYTES).bit_length()))
-    slim = docs.where("doc_id is not null").select("doc_id", F.col("_base").cast("long"), "text")
+    slim = docs.where("doc_id is not null").select("doc_id", F.col("_pfp_base").cast("long"), "text")
     packed = slim.mapInArrow(remote(parse_batches, bits), PACKED)
     settled = staged(packed.groupBy("bucket").applyInArrow(remote1(settle_bucket, bits), PACKED), "settled")
     requests = staged(settled.where(F.col("kind") == REQUESTS).groupBy("bucket").applyInArrow(remote1(per_document, REQUESTS), PER_DOCUMENT), "requests")
-    entries = _join_packed(slim, requests, "inner").select("doc_id", "_base", "text", "n", "data").mapInArrow(remote(fetch_batches), PACKED)
+    entries = _join_packed(slim, requests, "inner").select("doc_id", "_pfp_base", "text", "_pfp_n", "_pfp_data").mapInArrow(remote(fetch_batches), PACKED)
     compared = entries.groupBy("bucket").applyInArrow(remote1(compare_bucket, bits), PACKED)
     ranges = settled.where(F.col("kind") == RANGES).union(compared)
     return staged(ranges.groupBy("bucket").applyInArrow(remote1(per_document, RANGES), PER_DOCUMENT), "ranges")
@@ -406,7 +406,7 @@ def covered(docs: DataFrame) -> DataFrame:
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     numbered = _numbered(docs.select("doc_id", "text"))
-    joined = _join_packed(numbered, covered(numbered), "left").select("doc_id", F.col("_base").cast("long"), "text", "n", "data")
+    joined = _join_packed(numbered, covered(numbered), "left").select("doc_id", F.col("_pfp_base").cast("long"), "text", "_pfp_n", "_pfp_data")
     return joined.mapInArrow(remote(digest_batches), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -414,7 +414,7 @@ def remove(docs: DataFrame) -> DataFrame:
     """The rows with covered bytes cut out of ``text``; other columns as they were, ``text`` last."""
     numbered = _numbered(docs)
     others = [c for c in docs.columns if c != "text"]
-    joined = _join_packed(numbered, covered(numbered), "left").select(*others, F.col("_base").cast("long"), "text", "n", "data")
+    joined = _join_packed(numbered, covered(numbered), "left").select(*others, F.col("_pfp_base").cast("long"), "text", "_pfp_n", "_pfp_data")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others, "text").schema.fields)
     return joined.mapInArrow(remote(remove_batches), kinds)
 
