@@ -36,7 +36,7 @@ def decoded(space: Space, source: str = "code", name: str = "dec") -> str:
     d, k = space.padded_dim, space.scale
     sign = _SIGN.format(a="a.i", b="t.i")
     return f"""
-{name}_c AS (SELECT vec_id, t.i AS i, {_list(space.centroids)}[levels[t.i + 1] + 1] * CAST(sigma AS DOUBLE) AS c, signs[t.i + 1] * 2.0 - 1.0 AS s FROM {source}, range(0, {d}) AS t(i)),
+{name}_c AS (SELECT vec_id, t.i AS i, {_list(space.centroids)}[levels[t.i + 1] + 1] * CAST(sigma AS DOUBLE) AS c, CAST(signs[t.i + 1] * 2 - 1 AS DOUBLE) AS s FROM {source}, range(0, {d}) AS t(i)),
 {name}_h AS (SELECT a.vec_id, t.i AS i, sum(a.c * {_list(space.qjl_signs)}[a.i + 1] * {sign}) / sqrt({d}.0) AS h FROM {name}_c AS a, range(0, {d}) AS t(i) GROUP BY 1, 2),
 {name} AS (SELECT c.vec_id, list(c.c ORDER BY c.i) AS c, list(h.h ORDER BY c.i) AS h, list(c.s ORDER BY c.i) AS s,
   list(h.h + {k!r} * CAST(f.gamma AS DOUBLE) * c.s ORDER BY c.i) AS g, any_value(CAST(f.norm AS DOUBLE)) AS norm, any_value(CAST(f.gamma AS DOUBLE)) AS gamma
