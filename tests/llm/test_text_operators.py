@@ -342,6 +342,52 @@ def test_op7_lines(docs, empty):
     assert out[0]["sim"] == "x" and L.dedup(empty).count() == 0
 
 
+def test_op7_whole_edit_similarity(spark):
+    """Against brute force on edit similarity alone: words and characters changed, short and long lines, near the limit."""
+    from vecloom.llm import lines as L
+
+    rng = random.Random(11)
+    made = []
+    for n in [2, 2, 3, 3, 4, 5, 6, 8, 10, 10, 12, 15, 15, 18, 20, 25, 30, 40, 60, 90]:
+        base = prose(rng, n)
+        made.append(base)
+        for share in (0.03, 0.06, 0.09, 0.1, 0.11, 0.13):
+            chars = list(base)
+            for _ in range(max(1, round(share * len(base)))):
+                at = rng.randrange(len(chars))
+                kind = rng.randrange(3)
+                chars[at : at + 1] = [] if kind == 0 else [rng.choice("qzjk")] if kind == 1 else [chars[at], rng.choice("qzjé")]
+            made.append("".join(chars))
+        words = base.split()
+        words[rng.randrange(n)] = rng.choice(WORDS)
+        made.append(" ".join(words))
+    norms = sorted({L.normalise(x) for x in made} - {""})
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    links = []
+    for a in range(len(norms)):
+        for b in range(a):
+            most = int(max(len(norms[a]), len(norms[b])) * (1 - 0.9) + 1e-9)
+            if abs(len(norms[a]) - len(norms[b])) <= most and distance(norms[a], norms[b]) <= most:
+                links.append((a, b))
+    comp = union_find(range(len(norms)), links)
+    first = {}
+    for k in range(len(norms)):
+        first.setdefault(comp[k], k)
+    sims = L.simhashes(norms)
+    assert sum(np.bitwise_count(sims[a] ^ sims[b]) > 3 for a, b in links) > 20
+    df = spark.createDataFrame(list(enumerate(norms)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in L.dedup(df).collect() if r["n_removed"] == 0} == set(first.values())
+
+
 @pytest.mark.parametrize("nodes,bits", [(10, 16), (1 << 30, 25), (1 << 40, 32)])
 def test_op7_pigeonhole(nodes, bits):
     from vecloom.llm import lines as L
