@@ -36,3 +36,14 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_without_sql(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+def test_whole_query_set(spark):
+    """Every id divisible by 100 is a query, against all rows but itself; decoding has all rows."""
+    ids = {r["vec_id"] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect()}
+    pairs = {(q, v) for q in ids if q % 100 == 0 for v in ids if q != v}
+    for name in ("sym_m_to_n_whole", "compare_modes_whole"):
+        assert {(r["query_id"], r["vec_id"]) for r in QUERIES[name](spark, DATA).collect()} == pairs
+    found = QUERIES["exact_l2_topk_whole"](spark, DATA).collect()
+    assert {(r["query_id"], r["rank"]) for r in found} == {(q, k) for q in ids if q % 100 == 0 for k in range(1, 11)}
+    assert {r["vec_id"] for r in QUERIES["decode_values_whole"](spark, DATA).select("vec_id").distinct().collect()} == ids

@@ -335,6 +335,94 @@ def code_wire_roundtrip(spark, d):
     return E.from_wire(wire, B4).select("vec_id", F.lower(F.hex("code.packed")).alias("packed"))
 
 
+#: The whole query set: every id divisible by QUERY_EVERY against all other rows. The queries above keep the first N_QUERY ids that their SQL has.
+QUERY_EVERY = 100
+_WHOLE = f"a.vec_id % {QUERY_EVERY} = 0 AND a.vec_id <> b.vec_id"
+
+
+def _whole_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return df.where(F.col("vec_id") % QUERY_EVERY == 0).withColumnRenamed("vec_id", "query_id"), df
+
+
+def _whole_searched(df: DataFrame, space: Space | None, mode: str, k: int = K) -> DataFrame:
+    queries, base = _whole_split(df)
+    if mode != "exact":
+        queries, base = queries if mode == "asym" else E.encode(queries, space), E.encode(base, space)
+    return D.topk(D.search(queries, base, space, k + 1, mode).where("query_id <> vec_id"), k)
+
+
+def _whole_pairs(df: DataFrame, space: Space | None, mode: str) -> DataFrame:
+    queries, base = _whole_split(df)
+    if mode != "exact":
+        queries, base = queries if mode == "asym" else E.encode(queries, space), E.encode(base, space)
+    return D.pairwise(queries, base, space, mode).where("query_id <> vec_id")
+
+
+_WHOLE_EXACT = f"SELECT a.vec_id AS query_id, b.vec_id AS vec_id, {S.EXACT.format(a='a.embedding', b='b.embedding')} AS dist FROM ({{v}}) AS a, ({{v}}) AS b WHERE {_WHOLE}"
+
+
+def _whole_search_sql(space: Space, mode: str, vectors: str = X) -> str:
+    ctes, pairs = _pairs_sql(space, mode, vectors, _WHOLE)
+    return f"WITH {ctes} {S.ranked(pairs, K)}"
+
+
+_query("exact_l2_topk_whole", S.ranked(_WHOLE_EXACT.format(v=X), K))(lambda spark, d: _rounded(_whole_searched(_vectors(spark, d), None, "exact")))
+_query("exact_l2_column_whole", f"SELECT query_id, vec_id, round(dist, 6) AS dist FROM ({_WHOLE_EXACT.format(v=X)})")(lambda spark, d: _rounded(_whole_pairs(_vectors(spark, d), None, "exact")))
+for _mode in ("asym", "sym", "light", "full"):
+    for _b, _space in ((4, B4), (8, B8)):
+        _query(f"{_mode}_topk_b{_b}_whole", _whole_search_sql(_space, _mode))(lambda spark, d, m=_mode, s=_space: _rounded(_whole_searched(_vectors(spark, d), s, m)))
+    _c, _p = _pairs_sql(B4, _mode, where=_WHOLE)
+    _query(f"{_mode}_m_to_n_whole", f"WITH {_c} SELECT query_id, vec_id, round(dist, 6) AS dist FROM ({_p})")(lambda spark, d, m=_mode: _rounded(_whole_pairs(_vectors(spark, d), B4, m)))
+_query("matryoshka_topk_whole", _whole_search_sql(Space(32, 8), "asym", "SELECT vec_id, embedding[1:32] AS embedding FROM embeddings"))(lambda spark, d: _rounded(_whole_searched(E.truncate(_vectors(spark, d), 32), Space(32, 8), "asym")))
+_query("padded_dim48_topk_whole", _whole_search_sql(Space(48, 8), "full", SHORT))(lambda spark, d: _rounded(_whole_searched(E.truncate(_vectors(spark, d), 48), Space(48, 8), "full")))
+_query("scaled_norm_topk_whole", _coarse(_whole_search_sql(B8, "sym", SCALED)))(lambda spark, d: _rounded(_whole_searched(_scaled(spark, d), B8, "sym"), "dist", places=3))
+_query("cosine_topk_whole", _whole_search_sql(B8, "asym", _UNIT))(lambda spark, d: _rounded(_whole_searched(E.normalize(_scaled(spark, d)), B8, "asym")))
+
+
+@_query("prepare_queries_whole", SQL["prepare_queries"].replace(f"WHERE vec_id < {N_QUERY}", f"WHERE vec_id % {QUERY_EVERY} = 0"))
+def prepare_queries_whole(spark, d):
+    out = E.prepare_queries(_whole_split(_vectors(spark, d))[0], B8).select("query_id", "q_norm", F.posexplode("s_q").alias("pos", "value"))
+    return _rounded(out, "value", "q_norm")
+
+
+@_query("decode_values_whole", SQL["decode_values"].removesuffix(f" WHERE vec_id < {N_QUERY}"))
+def decode_values_whole(spark, d):
+    out = E.decode(E.encode(_vectors(spark, d), B4), B4, engine="sql")
+    return _rounded(out.select("vec_id", F.posexplode(F.arrays_zip("c", "h", "s")).alias("pos", "v")).select("vec_id", "pos", "v.c", "v.h", "v.s"), "c", "h")
+
+
+@_query("recall_at_k_whole", f"WITH {_pairs_sql(B4, 'asym')[0]}, found AS ({S.ranked(_pairs_sql(B4, 'asym', where=_WHOLE)[1], 100)}), truth AS ({S.ranked(_WHOLE_EXACT.format(v=X), 100)}) " + " UNION ALL ".join(_HITS.format(k=k, n="(SELECT count(DISTINCT query_id) FROM truth)") for k in (1, 10, 100)))
+def recall_at_k_whole(spark, d):
+    df = _vectors(spark, d)
+    return A.recall(_whole_searched(df, B4, "asym", 100), _whole_searched(df, None, "exact", 100))
+
+
+@_query("label_recall_whole", f"WITH {_pairs_sql(B4, 'sym')[0]}, found AS ({S.ranked(_pairs_sql(B4, 'sym', where=_WHOLE)[1], K)}), truth AS ({S.ranked(_WHOLE_EXACT.format(v=X), K)}) SELECT e.label AS label, count(f.vec_id) AS hits, count(DISTINCT t.query_id) AS queries, count(f.vec_id) / CAST(count(DISTINCT t.query_id) * {K} AS DOUBLE) AS recall FROM truth AS t JOIN embeddings AS e ON e.vec_id = t.query_id LEFT JOIN found AS f ON f.query_id = t.query_id AND f.vec_id = t.vec_id GROUP BY e.label")
+def label_recall_whole(spark, d):
+    df = _vectors(spark, d)
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
+    return A.recall_by(_whole_searched(df, B4, "sym"), _whole_searched(df, None, "exact"), K, labels, "label")
+
+
+@_query("rmse_by_mode_whole", SQL["rmse_by_mode"].replace(f"a.vec_id < {N_QUERY} AND b.vec_id >= {N_QUERY}", _WHOLE))
+def rmse_by_mode_whole(spark, d):
+    df = _vectors(spark, d)
+    return _rounded(A.rmse_by_mode(_whole_pairs(df, None, "exact"), {m: _whole_pairs(df, B4, m) for m in ("asym", "sym", "light", "full")}), "rmse", "relative")
+
+
+@_query("compare_modes_whole", SQL["compare_modes"].replace("a.vec_id < 3 AND b.vec_id BETWEEN 3 AND 5", _WHOLE))
+def compare_modes_whole(spark, d):
+    df, modes = _vectors(spark, d), ("sym", "light", "full")
+    return _rounded(A.compare_modes({f"{m}_dist": _whole_pairs(df, B8, m) for m in modes}), *[f"{m}_dist" for m in modes])
+
+
+@_query("spearman_norm_whole", SQL["spearman_norm"].replace(f"a.vec_id < {N_QUERY} AND b.vec_id >= {N_QUERY}", _WHOLE))
+def spearman_norm_whole(spark, d):
+    df = _vectors(spark, d)
+    whole, short = _whole_pairs(df, None, "exact"), _whole_pairs(E.truncate(df, 48), None, "exact")
+    return _rounded(A.spearman(whole.join(short.withColumnRenamed("dist", "short"), ["query_id", "vec_id"]), "dist", "short"), "rho")
+
+
 @_query("empirical_lloyd")
 def empirical_lloyd(spark, d):
     points = A.empirical_codebook(_coords(spark, d), 2, rounds=30)
