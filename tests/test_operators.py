@@ -159,3 +159,33 @@ def test_stream(spark, vectors, tmp_path):
     source = spark.readStream.schema(vectors.schema).parquet(str(tmp_path / "in"))
     streaming.write_stream(streaming.encode_stream(source, SPACE), str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 43
+
+
+def test_codebook_gain_against_numpy(spark):
+    """The registered query: 3 to 8 bits, up to 200 rounds, as in numpy on the same coordinates."""
+    import os
+
+    from vecloom.functions.space import lloyd_max
+    from vecloom.plans import queries as Q
+
+    d = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    x = np.array([r["value"] for r in Q._coords(spark, d).select("value").collect()])
+    mse = lambda points, bounds: np.mean((x - np.float32(points)[np.searchsorted(np.float32(bounds), x)]) ** 2)
+    got = {r["bits"]: r for r in Q.QUERIES["codebook_gain"](spark, d).collect()}
+    assert sorted(got) == [3, 4, 5, 6, 7, 8]
+    for bits, row in got.items():
+        n = 1 << bits
+        points = np.percentile(x, np.linspace(0, 100, n + 2)[1:-1])
+        for _ in range(200):
+            level = np.searchsorted((points[:-1] + points[1:]) / 2, x)
+            count, total = np.bincount(level, minlength=n), np.bincount(level, x, n)
+            fresh = np.where(count > 0, total / np.maximum(count, 1), points)
+            if np.abs(fresh - points).max() < 1e-8:
+                break
+            points = fresh
+        bounds, centres = lloyd_max(bits)
+        gauss, own = mse(centres, bounds), mse(points, (points[:-1] + points[1:]) / 2)
+        assert row["gaussian_mse"] == pytest.approx(gauss, rel=1e-6) and row["empirical_mse"] == pytest.approx(own, rel=1e-5)
+        assert row["gain_percent"] == pytest.approx(100 * (gauss - own) / gauss, abs=0.01)

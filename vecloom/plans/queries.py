@@ -431,7 +431,7 @@ def empirical_lloyd(spark, d):
 
 @_query("codebook_gain")
 def codebook_gain(spark, d):
-    return A.codebook_gain(_coords(spark, d), range(2, 4), rounds=10)
+    return A.codebook_gain(_coords(spark, d), range(3, 9))
 
 
 @_query("ks_test")
