@@ -250,6 +250,70 @@ def test_op4_plan_on_many_lengths():
     assert sum(c for _, c in bins) <= 1.01 * sum(n * c for n, c in histogram.items()) / 4096 + 1
 
 
+def test_op4_program_against_all_configurations():
+    """The bound holds against every configuration, the solution covers all demands near it, and the bins come from it."""
+    from vecloom.llm import packing
+
+    rng = random.Random(8)
+    for capacity, kinds in ((60, 4), (100, 5)):
+        histogram = {n: rng.randrange(20, 200) for n in rng.sample(range(capacity // 6, capacity - 5), kinds)} | {2: 300}
+        bounds, sizes, demand, sand = packing.classes_of(histogram, capacity, 48)
+        solution, bound = packing.configuration_program(sizes, demand, sand, capacity)
+        assert [a for a, b in bounds] == sizes.tolist() == [b for a, b in bounds] and sand == 600
+        assert all((c * sizes).sum() <= capacity for c, _ in solution)
+        for k in range(kinds):
+            assert sum(c[k] * x for c, x in solution) >= demand[k] - 1e-6
+        assert sum((capacity - (c * sizes).sum()) * x for c, x in solution) >= sand - 1e-6
+        assert bound <= sum(x for _, x in solution) <= 1.05 * bound + 1e-9
+
+        def configurations(k, room):
+            if k == kinds:
+                yield ()
+                return
+            for a in range(room // int(sizes[k]) + 1):
+                for rest in configurations(k + 1, room - a * int(sizes[k])):
+                    yield (a, *rest)
+
+        # A program of all configurations has no solution below the bound: ours is one, and any integral packing is above it.
+        every = list(configurations(0, capacity))
+        worth = np.array([rng.random() for _ in range(kinds)])
+        told, counts, left = packing._knapsack(worth, sizes, 0.01, capacity)
+        best = max(sum(a * w for a, w in zip(c, worth)) + 0.01 * (capacity - sum(a * int(n) for a, n in zip(c, sizes))) for c in every)
+        assert abs(told - best) < 1e-9 and abs((counts * worth).sum() + 0.01 * left - told) < 1e-9
+        bins = packing.planned(histogram, capacity)
+        total = sum(c for _, c, _ in bins)
+        assert total >= bound - 1e-6 and sum(c for _, c, own in bins if own) >= 0.5 * total
+
+
+def test_op4_unknown_settings_go_through_the_library(tmp_path):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import json
+
+    from vecloom.llm import packing
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        told = json.load(file)
+    told["normalizer"] = {"type": "NFC"}
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(told), encoding="utf-8")
+    ours = packing.WordTokenizer(str(path))
+    text = "Some Cased TEXT, é's 12"
+    assert not ours.known and ours.encode_all([text])[0] == np.array(ours.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_op4_cache_generations(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from vecloom.llm import bpe, packing
+
+    monkeypatch.setattr(bpe, "MAX_CACHE", 40)
+    ours = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(3)
+    for _ in range(20):
+        some = [prose(rng, 30) for _ in range(3)]
+        want = [np.array(ours.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+        assert ours.encode_all(some) == want and len(ours.new) + len(ours.old) < 400
+
+
 def test_op4_hot_lengths_are_ranked_in_parts(docs, monkeypatch):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from vecloom.llm import packing

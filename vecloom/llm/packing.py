@@ -3,10 +3,10 @@
 Lengths up to the capacity are counted over the whole corpus; that histogram has at most ``capacity`` rows, whatever the
 corpus, and is all that the driver sees. The program's columns are configurations: multisets of length classes that fit
 one sequence. It is solved by multiplicative weights: each length class has a weight that shrinks as it is covered, and
-an unbounded-knapsack dynamic program prices the best configuration under the weights. The solution is rounded down to
-whole copies of the configurations; their actual lengths are drawn from the classes, and what room is left, and
-all other pieces, are filled by best fit. Everything is kept as (configuration, multiplicity), so the work depends on the histogram
-and not on the number of documents.
+an unbounded-knapsack dynamic program prices the best configuration under the weights. The weights also bound the program
+from below, and the rounds end when the solution is within a twentieth of that. It is rounded to whole copies of the
+configurations; their actual lengths are drawn from the classes, and what room is left is filled by best fit.
+Everything is kept as (configuration, multiplicity), so the work depends on the histogram and not on the number of documents.
 
 Pieces then find their places by rank: the i-th piece of a length takes the i-th slot of that length.
 """
@@ -14,6 +14,7 @@ Pieces then find their places by rank: the i-th piece of a length takes the i-th
 from __future__ import annotations
 
 import bisect
+import math
 import os
 import re
 import unicodedata
@@ -22,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,16 +35,24 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # --- token ids -------------------------------------------------------------------------------------------------------
 
 
+#: What this module reads by itself; a file with another normaliser or splitter goes through the library as a whole.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏḀ-ỿ"
+_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+
+
 class WordTokenizer:
-    """The ids of a ``tokenizers`` BPE file with word ends, through a cache of words.
+    """The ids of a ``tokenizers`` BPE file with word ends, through a cache of parts of words.
 
-    The file's normaliser and splitter never join characters across white space, so words are encoded apart. Texts with
-    characters for which that is not plain (control characters, spaces beyond ASCII, special tokens) go through
-    the library as a whole.
+    Lower-cased texts are split into letters, digits and signs as the file's splitter does. Texts with characters for which
+    that is not plain (control characters, spaces beyond ASCII, other scripts, special tokens), and all texts where the
+    file has settings other than those this class knows, go through the library as a whole. The cache has two
+    generations of MAX_CACHE // 2 entries: when one is full the one before it is forgotten, and what is met again moves up.
     """
 
     _WHOLE = re.compile(r"[^\t\n\r !-~\xa1-ɏḀ-ỿ]|<\|")
-    _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    _PARTS = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -53,10 +61,20 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        model = json.load(open(path, encoding="utf-8"))["model"]
-        vocab = model["vocab"]
-        end = model["end_of_word_suffix"]
-        alphabet = _byte_alphabet()
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        model, splitters = told["model"], (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.known = (
+            told.get("normalizer") == _NORMALIZER and splitters[:1] == [_SPLITTER] and [x.get("type") for x in splitters[1:]] == ["ByteLevel"]
+            and not splitters[1].get("add_prefix_space") and not splitters[1].get("use_regex", True) and not told.get("truncation") and not told.get("padding")
+            and model.get("type") == "BPE" and bool(model.get("end_of_word_suffix")) and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "ignore_merges"))
+            and all(x.get("special") and not x.get("normalized") and x["content"].startswith("<|") for x in told.get("added_tokens", []))
+        )
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        if not self.known:
+            return
+        vocab, end, alphabet = model["vocab"], model["end_of_word_suffix"], _byte_alphabet()
         lefts, rights, ids = [], [], []
         for pair in model["merges"]:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
@@ -67,51 +85,39 @@ class WordTokenizer:
         first = np.array([vocab[alphabet[i]] for i in range(256)])
         last = np.array([vocab[alphabet[i] + end] for i in range(256)])
         self.encoder = bpe.PieceEncoder(merges, first, last)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _normal(self, word: str) -> str:
-        word = word if word.isascii() else unicodedata.normalize("NFC", word)
-        return word.lower() if "İ" not in word else "".join(c.lower() for c in word)
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) > bpe.MAX_CACHE:
-            self.words.clear()
-        if len(self.parts) > bpe.MAX_CACHE:
-            self.parts.clear()
-        split, parts = [], self.parts
-        for w in words:
-            low = self._normal(w)
-            if low.isalpha():
-                split.append((w, (low,)))
-            elif low[-1] in ".,|" and low[:-1].isalpha():
-                split.append((w, (low[:-1], low[-1])))
-            else:
-                split.append((w, tuple(self._PARTS.findall(low))))
-        missing = list({p for _, ps in split for p in ps if p not in parts})
-        parts.update(zip(missing, self.encoder.encode([p.encode() for p in missing])))
-        get = parts.__getitem__
-        self.words.update((w, b"".join(map(get, ps))) for w, ps in split)
+
+    def _learn(self, parts: set[str]) -> None:
+        """Bring all of ``parts`` into the newer generation."""
+        known = {p: ids for p in parts if (ids := self.old.get(p)) is not None}
+        fresh = [p for p in parts if p not in known]
+        if len(self.new) + len(parts) > bpe.MAX_CACHE // 2:
+            self.old, self.new = self.new, {}
+        self.new |= known
+        self.new.update(zip(fresh, self.encoder.encode([p.encode() for p in fresh])))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        get, missing, held = self.words.get, set(), []
+        held: list[list[str] | bytes] = []
+        missing: set[str] = set()
         for text in texts:
             text = text or ""
-            if self._WHOLE.search(text):
-                held.append((None, np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()))
+            if self.known and not text.isascii():
+                text = unicodedata.normalize("NFC", text)
+            low = text.lower()
+            if not self.known or self._WHOLE.search(low) or "İ" in text:
+                held.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
                 continue
-            words = text.split()
-            found = list(map(get, words))
-            if None in found:
-                missing.update(w for w, f in zip(words, found) if f is None)
-                held.append((words, found))
-            else:
-                held.append((None, b"".join(found)))
-        if not missing:
-            return [ids for _, ids in held]
-        self._learn(missing)
-        get = self.words.get
-        return [ids if words is None else b"".join([f if f is not None else get(w) for w, f in zip(words, ids)]) for words, ids in held]
+            parts = self._PARTS.findall(low)
+            missing.update(parts)
+            held.append(parts)
+        missing.difference_update(self.new)
+        now = self.new  # all parts of these texts are in this one, or in the one that takes its place
+        if missing:
+            self._learn(missing)
+        if now is self.new:
+            get = now.__getitem__
+        else:
+            get = lambda p: self.new[p] if p in self.new else now[p]
+        return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in held]
 
 
 def _byte_alphabet() -> list[str]:
@@ -152,51 +158,67 @@ def piece_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int, e
 # --- the plan --------------------------------------------------------------------------------------------------------
 
 
-def _knapsack(worth: np.ndarray, room: int) -> tuple[float, dict[int, int]]:
-    """Unbounded knapsack over class sizes 1..len(worth) with capacity ``room``."""
-    best = np.zeros(room + 1)
-    took = np.zeros(room + 1, np.int64)
-    top = len(worth)
-    for c in range(1, room + 1):
-        k = min(c, top)
-        value = best[c - k : c][::-1] + worth[:k]
-        i = int(value.argmax())
-        if value[i] > best[c - 1]:
-            best[c], took[c] = value[i], i + 1
-        else:
-            best[c] = best[c - 1]
-    out: dict[int, int] = {}
-    c = room
+def _knapsack(worth: np.ndarray, sizes: np.ndarray, sand: float, room: int) -> tuple[float, np.ndarray, int]:
+    """Unbounded knapsack in exact sizes: the greatest worth of a configuration, its counts by class, and the room left for sand.
+
+    As no class is smaller than ``sizes.min()``, that many capacities at once depend on earlier ones only.
+    """
+    best, took = np.full(room + 1, -np.inf), np.full(room + 1, -1)
+    best[0] = 0.0
+    if len(sizes):
+        block = int(sizes.min())
+        for c in range(block, room + 1, block):
+            at = np.arange(c, min(c + block, room + 1))[:, None] - sizes[None, :]
+            value = np.where(at >= 0, best[np.maximum(at, 0)], -np.inf) + worth
+            took[c : c + block] = value.argmax(1)
+            best[c : c + block] = value.max(1)
+    c = int((best + sand * np.arange(room, -1, -1)).argmax())
+    total, left, counts = float(best[c] + sand * (room - c)), room - c, np.zeros(len(sizes), np.int64)
     while c > 0:
-        if took[c]:
-            out[int(took[c])] = out.get(int(took[c]), 0) + 1
-            c -= int(took[c])
-        else:
-            c -= 1
-    return float(best[room]), out
-
-
-def configuration_program(demand: np.ndarray, room: int, epsilon: float = 0.15, rounds: int = 400) -> list[tuple[dict[int, int], float]]:
-    """Multiplicative weights for: least total of x over configurations, each class k (size k+1) covered ``demand[k]`` times."""
-    live = demand > 0
-    weight = np.where(live, 1.0, 0.0)
-    covered = np.zeros(len(demand))
-    found: dict[tuple, float] = {}
-    for _ in range(rounds):
-        worth = np.where(live, weight / np.maximum(demand, 1), 0.0)
-        _, config = _knapsack(worth, room)
-        if not config:
-            break
-        step = epsilon * min(demand[k - 1] / a for k, a in config.items())
-        for k, a in config.items():
-            covered[k - 1] += step * a / demand[k - 1]
-            weight[k - 1] = np.exp(-covered[k - 1] * 4 / epsilon * 0.25)
-        key = tuple(sorted(config.items(), reverse=True))
-        found[key] = found.get(key, 0.0) + step
-        if covered[live].min() >= 1:
-            break
-    scale = covered[live].max() if live.any() else 1.0
-    return [(dict(c), x / max(scale, 1.0)) for c, x in found.items()]
+        counts[took[c]] += 1
+        c -= int(sizes[took[c]])
+    return total, counts, left
+
+
+def configuration_program(sizes: np.ndarray, demand: np.ndarray, sand: int, room: int, epsilon: float = 0.05) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """Multiplicative weights for: least total of x over configurations that covers each class k, of ``sizes[k]``, ``demand[k]``
+    times, and leaves room for ``sand`` in all.
+
+    Returns ([(counts by class, x)], a lower bound of the program). The weights are dual prices: scaled by the worth
+    of the best configuration they bound the program from below. Rounds come in windows, each twice as long as the one before and with
+    smaller steps; a window's configurations, scaled by its least coverage, are a solution, and the first that is
+    within 1 + ``epsilon`` of the bound is returned.
+    """
+    asked = np.append(demand, sand).astype(float)
+    live = asked > 0
+    if not live.any():
+        return [], 0.0
+    asked = np.maximum(asked, 1)
+    covered, bound, step, rounds = np.where(live, 0.0, np.inf), 0.0, 0.5, 64
+
+    def price(worth: np.ndarray) -> tuple[np.ndarray, float]:
+        best, counts, left = _knapsack(worth[:-1], sizes, float(worth[-1]), room)
+        return np.append(counts, left), float((worth * asked).sum()) / best
+
+    while True:
+        fresh, found, total, prices = np.where(live, 0.0, np.inf), {}, 0.0, np.zeros(len(asked))
+        for _ in range(rounds):
+            worth = np.exp(covered.min() - covered) / asked
+            row, told = price(worth)
+            bound = max(bound, told)
+            prices += worth / (worth * asked).sum()
+            used = np.flatnonzero(row * live)
+            x = step * float((asked[used] / row[used]).min())
+            for c in (covered, fresh):
+                c[used] += x * row[used] / asked[used]
+            found.setdefault(row.tobytes(), [row[:-1], 0.0])[1] += x
+            total += x
+            if total <= (1 + epsilon) * bound * fresh.min():
+                break
+        bound = max(bound, price(prices)[1])  # the average of a window's prices is often the better bound
+        if total <= (1 + epsilon) * bound * fresh.min():
+            return [(c, v / fresh.min()) for c, v in found.values()], bound
+        rounds, step = 2 * rounds, step * 0.75
 
 
 class _Stock:
@@ -217,9 +239,8 @@ class _Stock:
             self.lengths.pop(bisect.bisect_left(self.lengths, length))
 
 
-def _fill(stock: _Stock, capacity: int, chosen: dict[int, int], most: int | None) -> tuple[dict[int, int], int]:
-    """Fill one bin by best fit on top of ``chosen``; as many copies of it as the stock and ``most`` allow."""
-    room = capacity - sum(n * a for n, a in chosen.items())
+def _close(stock: _Stock, room: int, chosen: dict[int, int], most: int | None) -> tuple[dict[int, int], int]:
+    """Fill one bin by best fit on top of ``chosen``, and take as many copies of it as the stock and ``most`` allow."""
     while room > 0:
         n = stock.largest(room)
         while n is not None and stock.left[n] <= chosen.get(n, 0):
@@ -228,54 +249,90 @@ def _fill(stock: _Stock, capacity: int, chosen: dict[int, int], most: int | None
             break
         chosen[n] = chosen.get(n, 0) + 1
         room -= n
-    copies = min(stock.left[n] // a for n, a in chosen.items())
-    copies = copies if most is None else min(copies, most)
+    able = [stock.left[n] // a for n, a in chosen.items()]
+    copies = min(able if most is None else [most, *able])
     for n, a in chosen.items():
         stock.take(n, a * copies)
     return chosen, copies
 
 
-def plan(histogram: dict[int, int], capacity: int, unit: int = 16) -> list[tuple[dict[int, int], int]]:
-    """Bins as (lengths with counts, copies), covering the histogram exactly. The better of the program's rounding and plain best fit."""
-    by_program = _rounded(histogram, capacity, unit)
-    plain, stock = [], _Stock(histogram)
-    while stock.lengths:
-        plain.append(_fill(stock, capacity, {stock.lengths[-1]: 1}, None))
-    return min(by_program, plain, key=lambda bins: sum(c for _, c in bins))
-
+def classes_of(histogram: dict[int, int], capacity: int, groups: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, int]:
+    """Length classes [(least, most)], their sizes and demands, and the volume of the sand.
 
-def _rounded(histogram: dict[int, int], capacity: int, unit: int) -> list[tuple[dict[int, int], int]]:
-    room = capacity // unit
-    demand = np.zeros(room)
-    for n, c in histogram.items():
-        if n < capacity:
-            demand[min(room, -(-n // unit)) - 1] += c
+    Pieces of over a sixteenth of the capacity are cut, by length, into at most ``groups`` classes of about equal counts, as large as
+    their pieces are on average: what is longer than that is matched with what is shorter when lengths are drawn.
+    Shorter pieces are sand, which fills any room.
+    """
+    large = sorted((n, c) for n, c in histogram.items() if capacity // 16 < n < capacity)
+    whole, held, group = sum(c for _, c in large), 0, -1
+    bounds: list[tuple[int, int]] = []
+    counts: list[int] = []
+    volumes: list[int] = []
+    for i, (n, c) in enumerate(large):
+        now = held * groups // whole if len(large) > groups else i
+        if now != group:
+            bounds.append((n, n))
+            counts.append(0)
+            volumes.append(0)
+            group = now
+        bounds[-1] = (bounds[-1][0], n)
+        counts[-1] += c
+        volumes[-1] += n * c
+        held += c
+    sizes = [round(v / c) for v, c in zip(volumes, counts)]
+    return bounds, np.array(sizes, np.int64), np.array(counts, np.int64), sum(n * c for n, c in histogram.items() if n <= capacity // 16)
+
+
+def plan(histogram: dict[int, int], capacity: int, groups: int = 48) -> list[tuple[dict[int, int], int]]:
+    """Bins as (lengths with counts, copies), covering the histogram exactly."""
+    return [(lengths, copies) for lengths, copies, _ in planned(histogram, capacity, groups)]
+
+
+def planned(histogram: dict[int, int], capacity: int, groups: int = 48) -> list[tuple[dict[int, int], int, bool]]:
+    """As ``plan``, with whether the bin is a configuration's.
+
+    The solution, scaled to the program's lower bound so that no class is drawn beyond its demand on the whole, is rounded by
+    running totals: each configuration gets the copies between the rounded totals before and after it. Its classes draw
+    their longest stocked lengths that still fit, best fit closes the bin, and takes what rounding leaves over at the end.
+    """
     bins, stock = [], _Stock(histogram)
     if capacity in stock.left:
-        n = stock.left[capacity]
-        stock.take(capacity, n)
-        bins.append(({capacity: 1}, n))
-    for config, x in sorted(configuration_program(demand, room), key=lambda p: -max(p[0], default=0)):
-        copies = int(x)
-        while copies > 0:
-            chosen: dict[int, int] = {}
-            # All but the smallest class of the configuration; best fit closes the bin with exact lengths.
-            sizes = [k for k, a in sorted(config.items(), reverse=True) for _ in range(a)]
-            for k in sizes[:-1] if len(sizes) > 1 else sizes:
-                n = stock.largest(k * unit, (k - 1) * unit + 1)
-                while n is not None and stock.left[n] <= chosen.get(n, 0):
-                    n = stock.largest(n - 1, (k - 1) * unit + 1)
-                if n is None:
-                    chosen = {}
-                    break
-                chosen[n] = chosen.get(n, 0) + 1
-            if not chosen:
-                break
-            bin_, made = _fill(stock, capacity, chosen, copies)
-            bins.append((bin_, made))
+        bins.append(({capacity: 1}, stock.left[capacity], True))
+        stock.take(capacity, stock.left[capacity])
+    bounds, sizes, demand, sand = classes_of(stock.left, capacity, groups)
+    solution, bound = configuration_program(sizes, demand, sand, capacity)
+    share = bound / max(sum(x for _, x in solution), bound, 1e-9)
+    solution.sort(key=lambda p: p[0][::-1].tolist())
+    tried = [_rounded(stock, capacity, bounds, [(counts, x * share * part) for counts, x in solution]) for part in SHARES]
+    return bins + min(tried, key=lambda t: sum(copies for _, copies, _ in t))
+
+
+#: Shares of the solution that are rounded; the rounding that needs fewest sequences is kept.
+SHARES = (1.0, 0.8, 0.6)
+
+
+def _rounded(whole: _Stock, capacity: int, bounds: list[tuple[int, int]], solution: list[tuple[np.ndarray, float]]) -> list[tuple[dict[int, int], int, bool]]:
+    bins, stock, total = [], _Stock(whole.left), 0.0
+    for counts, x in solution:
+        copies = round(total + x) - round(total)
+        total += x
+        while copies > 0 and stock.lengths:
+            chosen, room = {}, capacity
+            for k in np.flatnonzero(counts)[::-1].tolist():
+                least, most = bounds[k]
+                for _ in range(int(counts[k])):
+                    n = stock.largest(min(most, room), least)
+                    while n is not None and stock.left[n] <= chosen.get(n, 0):
+                        n = stock.largest(n - 1, least)
+                    if n is None:
+                        break
+                    chosen[n] = chosen.get(n, 0) + 1
+                    room -= n
+            lengths, made = _close(stock, room, chosen, copies)
+            bins.append((lengths, made, True))
             copies -= made
     while stock.lengths:
-        bins.append(_fill(stock, capacity, {stock.lengths[-1]: 1}, None))
+        bins.append((*_close(stock, capacity, {}, None), False))
     return bins
 
 
