@@ -303,9 +303,9 @@ def test_op4_unknown_settings_go_through_the_library(tmp_path):
 
 def test_op4_cache_generations(monkeypatch):
     public_tokenizers = pytest.importorskip("public_tokenizers")
-    from vecloom.llm import bpe, packing
+    from vecloom.llm import packing
 
-    monkeypatch.setattr(bpe, "MAX_CACHE", 40)
+    monkeypatch.setattr(packing, "MAX_PARTS", 40)
     ours = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(3)
     for _ in range(20):

@@ -28,8 +28,11 @@ from pyspark.sql import functions as F
 
 from ..runtime import remote, staged
 from . import bpe
+from .shingles import parts_of
 
-DOCS_AT_ONCE = 256
+DOCS_AT_ONCE, BYTES_AT_ONCE = 1024, 8 << 20
+#: Parts of words that a worker holds (about 0.2 GB).
+MAX_PARTS = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # --- token ids -------------------------------------------------------------------------------------------------------
@@ -48,7 +51,7 @@ class WordTokenizer:
     Lower-cased texts are split into letters, digits and signs as the file's splitter does. Texts with characters for which
     that is not plain (control characters, spaces beyond ASCII, other scripts, special tokens), and all texts where the
     file has settings other than those this class knows, go through the library as a whole. The cache has two
-    generations of MAX_CACHE // 2 entries: when one is full the one before it is forgotten, and what is met again moves up.
+    generations of MAX_PARTS // 2 entries: when one is full the one before it is forgotten, and what is met again moves up.
     """
 
     _WHOLE = re.compile(r"[^\t\n\r !-~\xa1-ɏḀ-ỿ]|<\|")
@@ -90,14 +93,14 @@ class WordTokenizer:
         """Bring all of ``parts`` into the newer generation."""
         known = {p: ids for p in parts if (ids := self.old.get(p)) is not None}
         fresh = [p for p in parts if p not in known]
-        if len(self.new) + len(parts) > bpe.MAX_CACHE // 2:
+        if len(self.new) + len(parts) > MAX_PARTS // 2:
             self.old, self.new = self.new, {}
         self.new |= known
         self.new.update(zip(fresh, self.encoder.encode([p.encode() for p in fresh])))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        held: list[list[str] | bytes] = []
-        missing: set[str] = set()
+        held: list[int | bytes] = []
+        parts: list[str] = []
         for text in texts:
             text = text or ""
             if self.known and not text.isascii():
@@ -105,19 +108,23 @@ class WordTokenizer:
             low = text.lower()
             if not self.known or self._WHOLE.search(low) or "İ" in text:
                 held.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-                continue
-            parts = self._PARTS.findall(low)
-            missing.update(parts)
-            held.append(parts)
-        missing.difference_update(self.new)
-        now = self.new  # all parts of these texts are in this one, or in the one that takes its place
-        if missing:
-            self._learn(missing)
-        if now is self.new:
-            get = now.__getitem__
-        else:
-            get = lambda p: self.new[p] if p in self.new else now[p]
-        return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in held]
+            else:
+                parts += self._PARTS.findall(low)
+                held.append(len(parts))
+        found = list(map(self.new.get, parts))
+        if None in found:
+            missing = [i for i, x in enumerate(found) if x is None]
+            self._learn({parts[i] for i in missing})
+            for i in missing:
+                found[i] = self.new[parts[i]]
+        out, at = [], 0
+        for x in held:
+            if isinstance(x, bytes):
+                out.append(x)
+            else:
+                out.append(b"".join(found[at:x]))
+                at = x
+        return out
 
 
 def _byte_alphabet() -> list[str]:
@@ -140,8 +147,7 @@ def piece_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int, e
     """(doc_id, text) to the pieces of each document: ids, then ``end_id``, cut only where longer than ``capacity``."""
     tokenizer, tail = load(path), int(end_id).to_bytes(4, "little")
     for batch in batches:
-        for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-            part = batch.slice(at, DOCS_AT_ONCE)
+        for part in parts_of(batch, DOCS_AT_ONCE, BYTES_AT_ONCE):
             rows: list[tuple] = []
             for doc_id, ids in zip(part.column(0).to_pylist(), tokenizer.encode_all(part.column(1).to_pylist())):
                 ids += tail

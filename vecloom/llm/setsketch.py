@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import fitting_join, remote, remote1, staged
 from .graph import components
-from .shingles import mix, shingle_sets
+from .shingles import mix, parts_of, shingle_sets
 
 M, ROWS, B, RATE = 128, 4, 1.02, 20.0
 BANDS = M // ROWS
@@ -86,24 +86,12 @@ def similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
     return np.take_along_axis(j, like.argmax(1)[:, None], 1)[:, 0]
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most DOCS_AT_ONCE rows and about BYTES_AT_ONCE of text."""
-    at = 0
-    while at < batch.num_rows:
-        part = batch.slice(at, DOCS_AT_ONCE)
-        ends = np.cumsum(np.array([len(x) if x is not None else 0 for x in part.column(1).cast(pa.large_binary()).to_pylist()])) if part.column(1).nbytes > BYTES_AT_ONCE else None
-        if ends is not None:
-            part = part.slice(0, max(1, int(np.searchsorted(ends, BYTES_AT_ONCE, side="right"))))
-        yield part
-        at += part.num_rows
-
-
 SKETCH = "doc_id long, n long, digest binary, regs binary"
 
 
 def sketch_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in _parts(batch):
+        for part in parts_of(batch, DOCS_AT_ONCE, BYTES_AT_ONCE):
             sets = shingle_sets(part.column(1).fill_null(""), width)
             regs = registers(sets)
             yield pa.RecordBatch.from_arrays(
@@ -119,7 +107,7 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa
 
 def set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in _parts(batch):
+        for part in parts_of(batch, DOCS_AT_ONCE, BYTES_AT_ONCE):
             sets = shingle_sets(part.column(1).fill_null(""), width)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
 

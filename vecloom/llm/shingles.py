@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SEGMENT = 1 << 20
 _SPACE = np.zeros(256, bool)
@@ -17,6 +20,17 @@ _power = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 
 
+def parts_of(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of (id, text, ...) with at most ``rows`` rows and about ``size`` bytes of text; a longer text is alone."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
