@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import staged
@@ -30,3 +32,29 @@ def components(edges: DataFrame) -> DataFrame:
     for parents in levels[1:]:
         out = out.join(parents.toDF("component", "next"), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
     return staged(out, "components")
+
+
+#: Rows of a block of a bucket.
+BUCKET_ROWS = 1000
+
+
+def spread(tagged: DataFrame, rows: int) -> DataFrame:
+    """Buckets (key, node, comp, ...) that hold several components, as pairs of blocks (x, y) of at most about ``rows`` rows.
+
+    ``side`` is 0 for rows of the first block of two, 1 for the second's, 2 where both are one block.
+    """
+    split = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
+    mixed = tagged.join(split.select("key", F.ceil(F.col("rows") / rows).cast("int").alias("blocks")), "key")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    each = mixed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    return each.select(*tagged.columns, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"))
+
+
+def pairs_across(tagged: DataFrame, fits: Callable[[Column, Column], Column], value: str, rows: int | None = None) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of nodes of one bucket and different components whose ``value`` columns fit."""
+    blocks = spread(tagged, rows or BUCKET_ROWS)
+    left = blocks.where("side <> 1").select("key", "x", "y", F.col("node").alias("n0"), F.col("comp").alias("c0"), F.col(value).alias("v0"), F.col("side").alias("s0"))
+    right = blocks.where("side <> 0").select("key", "x", "y", F.col("node").alias("n1"), F.col("comp").alias("c1"), F.col(value).alias("v1"))
+    both = left.join(right, ["key", "x", "y"]).where((F.col("c0") != F.col("c1")) & ((F.col("s0") == 0) | (F.col("n0") < F.col("n1"))) & fits(F.col("v0"), F.col("v1")))
+    return both.select(F.least("n0", "n1").alias("a"), F.greatest("n0", "n1").alias("b")).distinct()
