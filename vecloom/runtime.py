@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import importlib
 import os
 import sys
@@ -66,9 +67,12 @@ def remote2(func: Callable, *args, **kwargs) -> Callable:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset and Spark runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         found = "file://" + tempfile.mkdtemp(prefix="vecloom-")
         spark.conf.set("spark.checkpoint.dir", found)
         _remove_at_exit(spark, found)
@@ -92,7 +96,24 @@ def staged(df: DataFrame, name: str = "stage", compression: str = "snappy") -> D
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
     _remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more, and let Spark's cleaner drop the shuffle files of finished jobs.
+
+    Spark removes those once its driver finds them unreachable, which on a large driver may take as long as the whole
+    job; whatever was staged doesn't need them.
+    """
+    for t in tables:
+        path = getattr(t, "_staged_at", None)
+        if path:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 #: Rows that a broadcast may have; beyond, the join shuffles both sides.
