@@ -490,6 +490,25 @@ def test_op7_corpus_candidates(spark):
     assert not [i for i in gone if i // 2 not in {r["i"] for r in true}]
 
 
+def test_op7_buckets_over_batches():
+    import pyarrow as pa
+
+    from vecloom.llm import lines as L
+
+    rng = random.Random(9)
+    for _ in range(60):
+        rows = sorted((rng.randrange(5), rng.randrange(20)) for _ in range(rng.randrange(1, 70)))
+        cuts = sorted({0, len(rows), *(rng.randrange(len(rows) + 1) for _ in range(5))})
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[a:b]], pa.int64()) for i in (0, 1)] + [pa.array([r[1] + 100 for r in rows[a:b]], pa.int32())], ["key", "nid", "len"]) for a, b in zip(cuts, cuts[1:])]
+        got = [tuple(r.values()) for x in L.bucket_batches(iter(batches)) for r in x.to_pylist()]
+        by = collections.defaultdict(set)
+        for k, n in rows:
+            by[k].add(n)
+        want = [(k, n, n + 100, min(by[k]), min(by[k]) + 100) for k in by for n in by[k] if len(by[k]) > L.SMALL]
+        want += [(None, y, y + 100, x, x + 100) for v in by.values() if len(v) <= L.SMALL for x in v for y in v if x < y and x + 100 >= 0.9 * (y + 100) - 1e-6]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_op7_hot_buckets_in_blocks(spark, monkeypatch):
     from vecloom.llm import graph
     from vecloom.llm import lines as L

@@ -52,9 +52,9 @@ def spread(tagged: DataFrame, rows: int) -> DataFrame:
 
 
 def pairs_across(tagged: DataFrame, fits: Callable[[Column, Column], Column], value: str, rows: int | None = None) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of nodes of one bucket and different components whose ``value`` columns fit."""
+    """Pairs (a, b), a < b, of nodes of one bucket and different components whose ``value`` columns fit, with the number n of their common buckets and the greater value."""
     blocks = spread(tagged, rows or BUCKET_ROWS)
     left = blocks.where("side <> 1").select("key", "x", "y", F.col("node").alias("n0"), F.col("comp").alias("c0"), F.col(value).alias("v0"), F.col("side").alias("s0"))
     right = blocks.where("side <> 0").select("key", "x", "y", F.col("node").alias("n1"), F.col("comp").alias("c1"), F.col(value).alias("v1"))
     both = left.join(right, ["key", "x", "y"]).where((F.col("c0") != F.col("c1")) & ((F.col("s0") == 0) | (F.col("n0") < F.col("n1"))) & fits(F.col("v0"), F.col("v1")))
-    return both.select(F.least("n0", "n1").alias("a"), F.greatest("n0", "n1").alias("b")).distinct()
+    return both.groupBy(F.least("n0", "n1").alias("a"), F.greatest("n0", "n1").alias("b")).agg(F.count("*").alias("n"), F.max(F.greatest("v0", "v1")).alias(value))
