@@ -179,6 +179,24 @@ def test_op3_near_duplicates(docs, empty, percent):
         assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i in sets if comp[i] == i}
 
 
+def test_op3_words_that_polynomials_confuse(spark):
+    """Thue-Morse words and their complements collide under any polynomial modulo 2^64."""
+    from vecloom.llm import setsketch
+
+    word = lambda flip: "".join("ab"[(i.bit_count() + flip) % 2] for i in range(2048))
+    df = spark.createDataFrame([(1, word(0)), (2, word(1)), (3, word(0)), (4, word(0)[:-1]), (5, "x" * 4000 + "y"), (6, "x" * 4000 + "z")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in setsketch.classes(df, 85).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6}
+
+
+def test_op3_clashing_columns(spark):
+    from vecloom.llm import setsketch
+
+    t = prose(random.Random(2), 30)
+    df = spark.createDataFrame([(1, t, 5, 6), (2, t, 7, 8), (None, t, 9, 9)], "doc_id long, text string, _gone int, _GONE0 int")
+    kept = setsketch.keep_one(df)
+    assert kept.columns == df.columns and sorted((r["doc_id"] or 0, r["_gone"]) for r in kept.collect()) == [(0, 9), (1, 5)]
+
+
 def test_op3_registers_merge_and_estimate():
     from vecloom.llm import setsketch
     from vecloom.llm.shingles import mix
@@ -539,4 +557,7 @@ def test_op9_encoding(docs, empty, spark):
         ids = np.array(theirs.encode_ordinary(t), "<u4")
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
     assert bpe.encode_digests(empty, path, public_tokenizers.PATTERN).count() == 0
+    clash = df.where("doc_id in (3, 47)").selectExpr("doc_id", "text", "1 as ids", "2 as n_tokens")
+    assert sorted(map(tuple, bpe.encode_digests(clash.union(clash), path, public_tokenizers.PATTERN).collect())) == sorted(2 * [tuple(r) for r in bpe.encode_digests(clash, path, public_tokenizers.PATTERN).collect()])
+    assert bpe.RankTokenizer(path, r"\S+|\s+").split("hello 123abc!") == ["hello", " ", "123abc!"]
     assert bpe.encode(df.where("doc_id = 47"), path, public_tokenizers.PATTERN).first()["ids"] == theirs.encode_ordinary(TEXTS[47])

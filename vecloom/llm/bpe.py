@@ -21,12 +21,16 @@ import numpy as np
 import pyarrow as pa
 import regex
 
+from .shingles import parts_of
+
 MAX_CACHE = 400_000
-DOCS_AT_ONCE = 256
+DOCS_AT_ONCE, BYTES_AT_ONCE = 256, 8 << 20
 INF = 1 << 40
 WIDEST = 64
 
-#: The same pieces as the tokenizer's pattern for texts of ASCII and Latin-1 letters only, which ``re`` splits faster.
+#: The pattern that the fast form below stands for.
+_KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same pieces as that pattern for texts of ASCII and Latin-1 letters only, which ``re`` splits faster.
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _ODD = re.compile(rf"[^\t\n\x0b\f\r !-~{_LETTERS}]")
 _FAST = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
@@ -41,6 +45,8 @@ class Merges:
     """Ranks of pairs of token ids. ``pairs``: (left id, right id) -> (rank, id of the merged token)."""
 
     def __init__(self, lefts: np.ndarray, rights: np.ndarray, ranks: np.ndarray, ids_by_rank: np.ndarray):
+        if len(keys_ := np.concatenate([lefts, rights])) and not 0 <= keys_.min() <= keys_.max() < 1 << 20:
+            raise ValueError("token ids must be below 2^20")
         keys = (lefts.astype(np.int64) << 20) | rights
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], ranks.astype(np.int64)[order]
@@ -222,7 +228,7 @@ class RankTokenizer:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.pattern = exact_pattern(pattern)
+        self.pattern, self.fast = exact_pattern(pattern), pattern == _KNOWN
         size = max(self.ranks.values()) + 1
         self.vocab = [b""] * size
         lefts, rights, ranks = [], [], []
@@ -239,7 +245,9 @@ class RankTokenizer:
         self.cache: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
-        return self.pattern.findall(text) if _ODD.search(text) else _FAST.findall(text)
+        if self.fast and not _ODD.search(text):
+            return _FAST.findall(text)
+        return [m[0] for m in self.pattern.finditer(text)]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -280,8 +288,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -
     """(doc_id, text) to (doc_id, ids): the general operator's real output."""
     tokenizer = load(path, pattern)
     for batch in batches:
-        for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-            part = batch.slice(at, DOCS_AT_ONCE)
+        for part in parts_of(batch, DOCS_AT_ONCE, BYTES_AT_ONCE):
             coded = [np.frombuffer(x, "<u4").astype(np.int32) for x in tokenizer.encode_all(part.column(1).to_pylist())]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in coded])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(coded)))
@@ -292,8 +299,7 @@ def digest_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -
     """(doc_id, text) to the digests of the ids and of the bytes decoded from them."""
     tokenizer = load(path, pattern)
     for batch in batches:
-        for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-            part = batch.slice(at, DOCS_AT_ONCE)
+        for part in parts_of(batch, DOCS_AT_ONCE, BYTES_AT_ONCE):
             coded = tokenizer.encode_all(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -307,14 +313,18 @@ def digest_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -
 
 
 def encode(docs, path: str, pattern: str):
-    """DataFrame (doc_id, text) to (doc_id, ids). A null or empty text has no ids; repeated rows are encoded one by one."""
+    """DataFrame (doc_id, text) to (doc_id, ids). A null or empty text has no ids; rows, columns and tables as in ``encode_digests``."""
     from ..runtime import remote
 
     return docs.select("doc_id", "text").mapInArrow(remote(encode_batches, path, pattern), "doc_id long, ids array<int>")
 
 
 def encode_digests(docs, path: str, pattern: str):
-    """DataFrame (doc_id, text) to one row of digests per input row."""
+    """DataFrame (doc_id, text) to one row of digests per input row.
+
+    A null or empty text has no ids and the digests of nothing; a null doc_id is kept; texts of any length are encoded whole, and
+    repeated rows one by one; extra columns are ignored, whatever their names; an empty table gives no rows.
+    """
     from ..runtime import remote
 
     return docs.select("doc_id", "text").mapInArrow(remote(digest_batches, path, pattern), DIGESTS)

@@ -10,6 +10,9 @@ registers and the exact set sizes drops those far below the threshold (by over s
 verified on full sets. Then buckets that still hold several components are compared in blocks of bounded size, across
 components only, estimates first. So links missed need all 32 bands to differ: 5e-8 at similarity 0.8, 5e-11 at 0.85.
 
+Sets hold 64-bit hashes of shingles, mixed from whole words eight bytes at a time, so different shingles are taken for one with
+a chance of 2^-64 a pair; nothing in the words' letters makes that likelier.
+
 Defined results: no words, null or empty texts: no shingles, no links; equal sets are linked by their digest before any
 sketch; rows with a null doc_id have no links and are kept; repeated doc_ids are one node, linked by any of their texts; extra columns
 are ignored by ``classes`` and kept by ``keep_one``; an empty table gives no rows.
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import fitting_join, remote, remote1, staged
-from .graph import components
+from .graph import components, spread
 from .shingles import mix, parts_of, shingle_sets
 
 M, ROWS, B, RATE = 128, 4, 1.02, 20.0
@@ -200,18 +203,8 @@ def links(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame
     comp = components(known)
     # Buckets that still span several components: compare across components, in blocks of bounded size.
     tagged = buckets.join(comp.toDF("doc_id", "component"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    split = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
-    mixed = tagged.join(split.select("key", F.ceil(F.col("rows") / BUCKET_ROWS).cast("int").alias("blocks")), "key")
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    spread = mixed.withColumn("block", block).select(
-        "key", "doc_id", "comp", "block",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
-    ).select(
-        "key", "doc_id", "comp",
-        F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
-        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
-    across = spread.join(one, "doc_id").groupBy("key", "x", "y").applyInArrow(remote1(block_pairs, least), "a long, b long").distinct()
+    blocks = spread(tagged.withColumnRenamed("doc_id", "node"), BUCKET_ROWS).withColumnRenamed("node", "doc_id").select("key", "doc_id", "comp", "x", "y", "side")
+    across = blocks.join(one, "doc_id").groupBy("key", "x", "y").applyInArrow(remote1(block_pairs, least), "a long, b long").distinct()
     fresh = staged(across.join(first, ["a", "b"], "left_anti"), "across")
     more = _verified(docs, fresh, percent, width) if not fresh.isEmpty() else known.limit(0)
     return sketches, components(known.union(more).union(equal))
@@ -228,8 +221,10 @@ def classes(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """The rows of each component's smallest doc_id; all columns as they were."""
     _, comp = links(docs, percent, width)
-    gone = staged(comp.where("node <> component").select(F.col("node").alias("_gone")), "gone")
-    return fitting_join(docs, gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = staged(comp.where("node <> component").select("node"), "gone")
+    own = next(n for n in (f"_gone{i}" for i in range(len(docs.columns) + 1)) if n.lower() not in {c.lower() for c in docs.columns})
+    gone = gone.select(F.col("node").alias(own))
+    return fitting_join(docs, gone, docs["doc_id"] == gone[own], "left_anti")
 
 
 SQL = r"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,11 +14,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E6C63D0876A9A47
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _MASK = (1 << 64) - 1
-_power = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+_SEEDS = np.array([0x9E6C63D0876A9A47, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def parts_of(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -38,13 +36,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _power, _inverse
-    while len(_power) < n:
-        k = len(_power)
-        _power = np.concatenate([_power, _power * np.uint64(pow(_BASE, k, 1 << 64))])
-        _inverse = np.concatenate([_inverse, _inverse * np.uint64(pow(_INVERSE, k, 1 << 64))])
-    return _power, _inverse
+def _hashed(low: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings at ``start``: each eight bytes are mixed into the state, so no algebra of the bytes is left.
+
+    All strings that have an i-th eight bytes take that step together; after a few steps only long ones are left, and
+    from the 64th on those go through a library hash one by one.
+    """
+    whole = np.concatenate([low, np.zeros(8, np.uint8)])
+    words = np.lib.stride_tricks.sliding_window_view(whole, 8)
+    state = mix(size.astype(np.uint64) * _SEEDS[1] + _SEEDS[0])
+    live, at = np.arange(len(start)), 0
+    while len(live) and at < 512:
+        left = size[live] - at
+        block = np.ascontiguousarray(words[start[live] + at]).view("<u8")[:, 0]
+        spare = (8 - np.minimum(left, 8)).astype(np.uint64) * np.uint64(8)
+        block = (block << spare) >> spare
+        state[live] = mix(state[live] * np.uint64(0xFF51AFD7ED558CCD) ^ mix(block + _SEEDS[0]))
+        live, at = live[left > 8], at + 8
+    for i in live.tolist():
+        told = hashlib.blake2b(low[start[i] : start[i] + size[i]].tobytes(), digest_size=8).digest()
+        state[i] = np.frombuffer(told, np.uint64)[0]
+    return state
 
 
 def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,11 +70,7 @@ def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     first[starts_of_texts[starts_of_texts < len(raw)]] = True
     start = np.flatnonzero(inside & (first | ~np.concatenate([[False], inside[:-1]])))
     stop = np.flatnonzero(inside & (np.concatenate([first[1:], [True]]) | ~np.concatenate([inside[1:], [False]]))) + 1
-    power, inverse = _powers(len(raw) + 1)
-    sums = np.empty(len(raw) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
-    hashes = mix((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    hashes = _hashed(_LOWER[raw], start, stop - start)
     counts += np.bincount(np.searchsorted(ends, start, side="right"), minlength=len(ends))
     return hashes, counts
 
