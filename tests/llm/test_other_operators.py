@@ -72,6 +72,90 @@ def test_op5_links(spark):
     assert chat.messages(df.limit(0)).count() == 0
 
 
+def test_op5_generated_conversations(spark):
+    """A table with calls, against plain Python: links, levels, cycles, checks against a table of schemas, canonical JSON."""
+    rng = random.Random(21)
+    schemas = [
+        ("find", "q", "string", True, None), ("find", "n", "integer", False, None), ("find", "where", "string", False, ['"a"', '"b"']),
+        ("sum", "xs", "array", True, None), ("sum", "opt", "object", False, None), ("now", None, None, None, None),
+    ]
+    values = ["x", "é\"", 1, -2.5, True, None, [1, "$c0"], {"b": 1, "a": [2]}, "a", "b", "$c1"]
+    kinds = {str: "string", int: "number", float: "number", bool: "boolean", type(None): "null", list: "array", dict: "object"}
+    canon = lambda v: json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    rows, want = [], {}
+    for conv in range(40):
+        made, results = [], {}
+        for turn in range(rng.randrange(1, 6)):
+            calls, blocks = [], []
+            for place in range(rng.randrange(0, 4)):
+                kind = rng.randrange(8)
+                if kind == 0:
+                    blocks.append("{broken")
+                    calls.append(None)
+                    continue
+                c = {"id": f"c{rng.randrange(5)}", "name": rng.choice(["find", "sum", "now", "none"])}
+                if kind == 1:
+                    c["arguments"] = "not json"
+                elif kind > 2:
+                    c["arguments"] = {k: rng.choice(values) for k in rng.sample(["q", "n", "where", "xs", "opt", "zz"], rng.randrange(0, 3))}
+                if rng.random() < 0.3:
+                    c["after"] = [f"c{rng.randrange(6)}"]
+                blocks.append(json.dumps(c))
+                calls.append(c)
+            text = f"say {turn}" + "".join(f"<tool_call>{b}</tool_call>" for b in blocks)
+            rows.append((conv, 2 * turn, "assistant", text))
+            made += [(2 * turn, p, c) for p, c in enumerate(calls)]
+            if rng.random() < 0.7:
+                told = f"c{rng.randrange(5)}"
+                rows.append((conv, 2 * turn + 1, "tool", json.dumps({"tool_call_id": told, "content": f"r{turn}"})))
+                results.setdefault(told, f"r{turn}")
+        first, needs = {}, {}
+        for turn, place, c in made:
+            if c and c["id"] not in first:
+                first[c["id"]] = (turn, place)
+                held = json.dumps(c.get("arguments", {}))
+                needs[c["id"]] = set(c.get("after", [])) | {x for x in ("c0", "c1") if f'"${x}"' in held}
+        level = {}
+        while True:
+            ready = [i for i in needs if i not in level and all(d in level for d in needs[i] if d in needs)]
+            if not ready:
+                break
+            level |= {i: max([level[d] + 1 for d in needs[i] if d in needs], default=0) for i in ready}
+        for turn in {t for c, t, r, _ in rows if c == conv and r == "assistant"}:
+            mine = [(p, c) for t, p, c in made if t == turn]
+            entries = []
+            for place, c in mine:
+                if not c:
+                    continue
+                args = c.get("arguments", {})
+                schema = {a: (k, need, ok) for t, a, k, need, ok in schemas if t == c["name"] and a}
+                valid = any(t == c["name"] for t, *_ in schemas) and isinstance(args, dict) and set(args) <= set(schema)
+                for a, (k, need, ok) in schema.items() if valid else ():
+                    if a in args:
+                        v = args[a]
+                        typed = kinds[type(v)] == k or k == "integer" and type(v) is int
+                        valid = valid and typed and (ok is None or canon(v) in ok)
+                    else:
+                        valid = valid and not need
+                linked = first[c["id"]] == (turn, place) and c["id"] in results
+                e = {"arguments": args, "id": c["id"], "name": c["name"], "valid": valid}
+                e |= {"level": level[c["id"]]} if c["id"] in level else {}
+                e |= {"result": results[c["id"]]} if linked else {}
+                entries.append((level.get(c["id"], 1 << 31), place, e))
+            want[conv, turn] = (
+                len(mine), sum("result" in e for *_, e in entries), sum(not e["valid"] for *_, e in entries),
+                sum("level" not in e for *_, e in entries), len(mine) - len(entries),
+                [e for *_, e in sorted(entries, key=lambda x: x[:2])] if mine else None,
+            )
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.messages(df.repartition(4), spark.createDataFrame(schemas, chat.SCHEMAS)).where("role = 'assistant'").collect()
+    assert len(out) == len(want)
+    for r in out:
+        told = json.loads(r["message"])
+        assert (r["n_calls"], r["n_linked"], r["n_invalid"], r["n_cyclic"], r["n_broken"], told.get("tool_calls")) == want[r["conv_id"], r["turn"]], (r, want[r["conv_id"], r["turn"]])
+        assert r["message"] == canon(told) and told["content"] == f"say {r['turn'] // 2}"
+
+
 def test_op10_topk(spark):
     from pyspark.sql import functions as F
 

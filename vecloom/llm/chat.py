@@ -10,7 +10,8 @@ Each row of the conversations becomes one message; no conversation is gathered i
 
 Defined results: a null text is written without content; a null role as "user"; blocks that aren't JSON objects with an id and a name count as
 broken and stay out of ``tool_calls``; of calls with one id in a conversation the earliest (turn, place) is linked, the
-others have no result; of results with one id the earliest turn counts; ids that are depended on but don't exist are
+others have no result; ids are compared as texts, so 1 and "1" are one; arguments that aren't JSON stay as a JSON string and
+are invalid, missing ones are {}; of results with one id the earliest turn counts; ids that are depended on but don't exist are
 ignored; rows with a null conv_id have no links; repeated rows give repeated messages; extra columns are ignored; an
 empty table gives no rows.
 """
@@ -20,16 +21,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import staged
+from ..runtime import fitting_join, staged
 
 BLOCK = r"(?s)<tool_call>(.*?)</tool_call>"
-#: (tool, argument, type, required); types: string, number, boolean, array, object.
+#: Columns of a table of argument schemas: a row per tool and argument. Types are string, number, integer, boolean, array, object
+#: and null; ``allowed`` holds canonical JSON texts, or is null where any value will do.
+SCHEMAS = "tool string, argument string, type string, required boolean, allowed array<string>"
 TOOLS = [
-    ("search", "query", "string", True),
-    ("search", "limit", "number", False),
-    ("calculator", "expression", "string", True),
-    ("weather", "city", "string", True),
-    ("weather", "unit", "string", False),
+    ("search", "query", "string", True, None),
+    ("search", "limit", "number", False, None),
+    ("calculator", "expression", "string", True, None),
+    ("weather", "city", "string", True, None),
+    ("weather", "unit", "string", False, None),
 ]
 
 
@@ -38,6 +41,12 @@ def canonical(json: Column) -> Column:
     return F.to_json(F.try_parse_json(json))
 
 
+def quoted(text: Column) -> Column:
+    """The text as a JSON string."""
+    array = F.to_json(F.array(text))
+    return F.substring(array, F.lit(2), F.length(array) - 2)
+
+
 def _kind(value: Column) -> Column:
     """Type of a canonical JSON value by its first character."""
     c = F.substring(value, 1, 1)
@@ -52,27 +61,34 @@ def calls(rows: DataFrame) -> DataFrame:
     refs = F.regexp_extract_all(F.coalesce(field("arguments"), F.lit("")), F.lit(r'"\$([^"\\]+)"'), F.lit(1))
     return out.select(
         "*", field("id").alias("id"), field("name").alias("name"),
-        F.coalesce(canonical(field("arguments")), F.lit("{}")).alias("arguments"), F.array_distinct(F.concat(after, refs)).alias("after"),
+        F.coalesce(canonical(field("arguments")), F.when(field("arguments").isNull(), F.lit("{}")), quoted(field("arguments"))).alias("arguments"), F.array_distinct(F.concat(after, refs)).alias("after"),
     )
 
 
-def check_arguments(linked: DataFrame, tools: list[tuple[str, str, str, bool]]) -> DataFrame:
-    """Add ``valid``: the tool is known, required arguments are there, and all have the declared type."""
-    valid = F.lit(False)
-    for tool in sorted({t[0] for t in tools}):
-        ok = F.col("arguments").startswith("{")
-        names = [a for t, a, _, _ in tools if t == tool]
-        present = F.coalesce(F.json_object_keys("arguments"), F.array().cast("array<string>"))
-        ok = ok & (F.size(F.array_except(present, F.array(*map(F.lit, names)))) == 0)
-        entries = F.from_json("arguments", "map<string,variant>")
-        for t, arg, kind, required in tools:
-            if t == tool:
-                value = F.to_json(F.get(F.array(entries[arg]), 0))
-                has = F.array_contains(present, arg)
-                fits = has & F.coalesce(_kind(value) == kind, F.lit(False))
-                ok = ok & (fits if required else (~has | fits))
-        valid = F.when(F.col("name") == tool, ok).otherwise(valid)
-    return linked.withColumn("valid", F.coalesce(valid, F.lit(False)))
+def check_arguments(linked: DataFrame, tools: DataFrame | list[tuple]) -> DataFrame:
+    """Add ``valid``: the tool is known, required arguments are there, no others are, and all have a declared type and an allowed value.
+
+    ``tools`` is a table with the columns of ``SCHEMAS``, or such rows. Each tool's arguments become one array; a tool that takes
+    none has a row with a null argument.
+    """
+    if not isinstance(tools, DataFrame):
+        tools = linked.sparkSession.createDataFrame(tools, SCHEMAS)
+    argument = F.struct("argument", "type", F.coalesce("required", F.lit(False)).alias("required"), "allowed")
+    per_tool = staged(tools.where("tool is not null").groupBy(F.col("tool").alias("_tool")).agg(F.collect_set(F.when(F.col("argument").isNotNull(), argument)).alias("_schema")), "tools")
+    joined = fitting_join(linked, per_tool, F.col("name") == F.col("_tool"))
+    present = F.coalesce(F.json_object_keys("arguments"), F.array().cast("array<string>"))
+    entries = F.from_json("arguments", "map<string,variant>")
+
+    def holds(s: Column) -> Column:
+        value = F.to_json(F.get(F.array(entries[s["argument"]]), 0))
+        kind = _kind(value)
+        typed = (kind == s["type"]) | ((s["type"] == "integer") & (kind == "number") & value.rlike("^-?[0-9]+$"))
+        fits = F.coalesce(typed & (s["allowed"].isNull() | F.array_contains(s["allowed"], value)), F.lit(False))
+        return F.when(F.array_contains(present, s["argument"]), fits).otherwise(~s["required"])
+
+    known = F.col("_schema").isNotNull() & F.col("arguments").startswith("{")
+    spare = F.size(F.array_except(present, F.transform("_schema", lambda s: s["argument"]))) == 0
+    return joined.withColumn("valid", F.coalesce(known & spare & F.forall("_schema", holds), F.lit(False))).drop("_tool", "_schema")
 
 
 def levels(found: DataFrame) -> DataFrame:
@@ -103,7 +119,7 @@ def _message(role: Column, content: Column, turn: Column, tool_calls: Column | N
     return F.to_json(F.struct(*fields, turn.alias("turn")))
 
 
-def messages(conversations: DataFrame, tools: list[tuple[str, str, str, bool]] | None = None) -> DataFrame:
+def messages(conversations: DataFrame, tools: DataFrame | list[tuple] | None = None) -> DataFrame:
     """conv_id, turn, role, n_calls, n_linked, n_invalid, n_cyclic, n_broken and the canonical message of every row."""
     rows = conversations.select("conv_id", "turn", "role", "text")
     calling = F.coalesce((F.col("role") == "assistant") & F.col("text").rlike(BLOCK), F.lit(False))
