@@ -96,3 +96,20 @@ def test_asymmetric_error(dim, bits):
     estimate = K.distances(space, "asym", K.prepare(space, q), K.decode(space, K.encode(space, x)))[0, 0]
     true = ((q - x) ** 2).sum()
     assert abs(estimate - true) < (0.25 if bits == 8 else 0.5) * true + 1
+
+
+@pytest.mark.parametrize("dim", [4, 48, 128, 512, 1000])
+@pytest.mark.parametrize("bits", [2, 4, 8])
+def test_products_give_the_butterflies_codes(dim, bits):
+    """Also where transforms cancel to exactly 0 and where values sit on a boundary, which products decide by their last bits."""
+    space = Space(dim, bits)
+    rng = np.random.default_rng(dim + bits)
+    x = rng.standard_normal((300, dim))
+    x[0], x[1], x[2], x[3] = 0, 1, np.arange(dim) % 2, x[4]
+    fast, (slow, _) = K.encode(space, x), K._encoded(space, x, K.hadamard)
+    for name in ("levels", "signs", "norm", "gamma", "sigma"):
+        assert (getattr(fast, name) == getattr(slow, name)).all()
+    values = np.concatenate([rng.standard_normal(2000) * 3, space.boundaries, np.nextafter(space.boundaries, 9), [-1e9, 1e9]])
+    levels, close = K.quantise(space.boundaries, values)
+    assert (levels == np.searchsorted(space.boundaries, values, side="left")).all() and close[2000:-2].all()
+    assert len(K.encode(space, x[:0]).norm) == 0
