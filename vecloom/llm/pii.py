@@ -1,9 +1,11 @@
 """Personal data by weak supervision: labelers vote on candidate spans, expectation-maximisation weighs the labelers,
 and a span classifier trained on its posteriors decides on the candidates that no strict pattern guarantees.
 
-All work on rows is built-in column expressions. Candidates come from strict patterns (they always stay) and looser ones
-(local phone numbers, spelled-out addresses). Five labelers vote for, against, or abstain: pattern, checksum and
-shape, gazetteer, context words, and boundaries. Only the counts of the vote patterns, at most 4 kinds x 2 x 3^5, reach the
+All work on rows is built-in column expressions. Candidates come from strict patterns (they always stay), from matches of these that
+fail their check (dotted quads, digit runs and numbers that are likely something else), and from looser patterns: local
+phone numbers, spelled-out addresses, and long mixed tokens that may be secrets, a fifth kind. Five labelers vote for,
+against, or abstain: pattern, checksum and shape, gazetteer (endings, issuers, country codes, usual lengths and
+prefixes of keys), context words in four languages, and boundaries. Only the counts of the vote patterns, at most 5 kinds x 2 x 3^5, reach the
 driver; there the reliabilities (one confusion table per labeler, one prior per kind) are estimated, and a logistic classifier
 over one-hot votes is fitted to the posteriors. It is applied as an arithmetic column expression.
 
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .quality_rules import let
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE_KINDS = 4
 _USER = "[A-Za-z0-9._%+-]"
 STRICT = {
     "email": rf"(?:\G|(?<!{_USER})){_USER}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -33,11 +36,20 @@ STRICT = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
+    "secret": r"(?<![A-Za-z0-9_/+=.-])(?=[A-Za-z0-9_/+=-]{0,64}?[0-9])(?=[A-Za-z0-9_/+=-]{0,64}?[A-Za-z])[A-Za-z0-9_/+-]{20,512}+={0,2}(?![A-Za-z0-9_/+=-])",
     "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\x20?[\[({]at[\])}]\x20?[a-z0-9-]{1,63}+(?:(?:\.|\x20?[\[({]dot[\])}]\x20?)[a-z0-9-]{1,63}+){1,8}+",
     "phone": r"(?<![0-9A-Za-z+.-])(?<!\+[0-9]{1,3}[\x20.-]?)(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.][0-9]{4}(?![0-9-])(?!\.[0-9])",
 }
-CUES = r"(?i)(?:\b(?:call|phone|tel|mobile|cell|fax|contact|reach|e-?mail|mail|write|card|credit|visa|ip|host|server|address|login|user)\b[^\n]{0,12}$)"
-ANTI_CUES = r"(?i)(?:\b(?:version|v|section|figure|table|isbn|issn|order|invoice|ref|sku|part|serial|total|page|chapter)\b[.:#\x20]{0,3}$)"
+CUES = (
+    r"(?i)(?:\b(?:call|phone|tel|mobile|cell|fax|contact|reach|e-?mail|mail|write|card|credit|visa|ip|host|server|address|login|user"
+    r"|telefon|anruf|handy|karte|rechner|adresse|tel[eé]fono|llam[ae]|m[oó]vil|tarjeta|correo|servidor|direcci[oó]n|t[eé]l[eé]phone|appel\w*|portable|carte|courriel|serveur|adresse"
+    r"|token|secret|passw(?:or)?d|passwort|contrase\u00f1a|auth|bearer|credentials?|api[_-]?key|access[_-]?key|private[_-]?key)\b[^\n]{0,12}$)"
+)
+ANTI_CUES = (
+    r"(?i)(?:\b(?:version|v|section|figure|table|isbn|issn|order|invoice|ref|sku|part|serial|total|page|chapter|commit|sha-?[0-9]*|md5|digest|checksum|hash|etag|uuid|id"
+    r"|abschnitt|tabelle|seite|kapitel|rechnung|secci[oó]n|tabla|p[aá]gina|cap[ií]tulo|factura|tableau|chapitre|facture)\b[.:=#\"'\x20]{0,4}$)"
+)
+SECRET_PREFIXES = r"^(?:AKIA|ASIA|gh[opsu]_|sk-|pk_|xox[abp]-|eyJ|glpat-|AIza)"
 COUNTRY_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
 ENDINGS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "it", "nl", "eu", "ch", "at", "us", "ca", "mx", "br", "example", "test", "invalid")
 VOTES = ("v_pattern", "v_shape", "v_gazetteer", "v_context", "v_boundary")
@@ -117,9 +129,14 @@ def _shape(kind: str, m: Column) -> Column:
     if kind == "ip":
         return _vote(~m.rlike(r"(^|\.)0[0-9]"), m.rlike(r"(^|\.)0[0-9]"))
     if kind == "card":
-        return _vote(~digits(m).rlike(r"^([0-9])\1*$"), digits(m).rlike(r"^([0-9])\1*$"))
+        good = luhn(m) & ~digits(m).rlike(r"^([0-9])\1*$")
+        return _vote(good, ~good)
+    if kind == "secret":
+        mixed = m.rlike("[0-9].*[0-9].*[0-9]") & (m.rlike("^[0-9a-f]+$") | m.rlike("^[0-9A-F]+$") | (m.rlike("[a-z]") & m.rlike("[A-Z]")))
+        return _vote(mixed, ~mixed)
     d = digits(m)
-    return _vote((F.length(d) >= 10) & ~d.rlike(r"([0-9])\1{6}"), d.rlike(r"([0-9])\1{6}") | (F.length(d) < 9))
+    unlikely = d.rlike(r"([0-9])\1{6}") | (F.length(d) < 9) | (~m.startswith("+") & ~d.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$"))
+    return _vote((F.length(d) >= 10) & ~unlikely, unlikely)
 
 
 def _gazetteer(kind: str, m: Column) -> Column:
@@ -131,39 +148,53 @@ def _gazetteer(kind: str, m: Column) -> Column:
     if kind == "card":
         issued = digits(m).rlike("^(?:4|5[1-5]|2[2-7]|3[47]|35|6011|64|65)")
         return _vote(issued, ~issued)
+    if kind == "secret":
+        usual = m.rlike(SECRET_PREFIXES) | (m.rlike("^(?i)[0-9a-f]+$") & F.length(m).isin(32, 40, 48, 56, 64, 128))
+        return _vote(usual, F.length(m) < 24)
     code = F.regexp_extract(m, r"^\+([0-9]{1,2})", 1)
     area = F.regexp_extract(digits(m), r"^([2-9][0-9]{2})[2-9][0-9]{6}$", 1)
     return F.when(m.startswith("+"), _vote(code.isin(*COUNTRY_CODES) | F.substring(code, 1, 1).isin("1", "7"), F.lit(False))).otherwise(_vote(area != "", area == ""))
 
 
 def _candidates(text: Column, kind: str, pattern: str, strict: bool, needs: Column) -> Column:
+    """Matches with their votes. With ``strict``, those that pass their check are so marked, and the others are candidates."""
     k = KINDS.index(kind)
 
     def span(x: Column) -> Column:
         pre, post, m = x["pre"], x["post"], x["m"]
+        sure = _valid(kind, m) if strict else F.lit(False)
         touching = pre.rlike(r"[A-Za-z0-9_]$") | post.rlike(r"^[A-Za-z0-9_]")
+        cues = _vote(pre.rlike(ANTI_CUES), F.lit(False)) * -1
         votes = (
-            _vote(F.lit(strict), F.lit(False)), _shape(kind, m), _gazetteer(kind, m),
-            _vote(pre.rlike(CUES), pre.rlike(ANTI_CUES)), _vote(~touching, touching),
+            _vote(sure, ~sure) if strict else F.lit(ABSTAIN), _shape(kind, m), _gazetteer(kind, m),
+            F.when(cues != ABSTAIN, cues).otherwise(_vote(pre.rlike(CUES), F.lit(False))), _vote(~touching, touching),
         )
         named = [v.alias(n) for v, n in zip(votes, VOTES)]
-        return F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(strict).alias("strict"), *named)
+        return F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), sure.alias("strict"), *named)
 
-    found = _matches(text, pattern)
-    if strict:
-        found = F.filter(found, lambda x: _valid(kind, x["m"]))
-    return F.when(needs, F.transform(found, span)).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    return F.when(needs, F.transform(_matches(text, pattern), span)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def candidates(text: Column) -> Column:
-    """All candidate spans with their votes; loose ones that meet a strict one are left out."""
+    """All candidate spans with their votes; loose ones that meet a strict one are left out, and so are loose ones that meet
+    one of a kind listed before."""
     t = F.coalesce(text, F.lit(""))
     digit = t.rlike("[0-9]")
     needs = {"email": F.contains(t, F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(t, F.lit("+"))}
-    strict = F.concat(*[_candidates(t, k, STRICT[k], True, needs[k]) for k in KINDS])
-    loose = F.concat(_candidates(t, "email", LOOSE["email"], False, t.rlike(r"(?i)[\[({]at[\])}]")), _candidates(t, "phone", LOOSE["phone"], False, digit))
-    apart = lambda s, x: ~F.exists(s, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    return let(strict, lambda s: F.array_sort(F.concat(s, F.filter(loose, lambda x: apart(s, x)))))
+    strict = [_candidates(t, k, STRICT[k], True, needs[k]) for k in KINDS[:BASE_KINDS]]
+    loose = [
+        _candidates(t, "email", LOOSE["email"], False, t.rlike(r"(?i)[\[({]at[\])}]")), _candidates(t, "phone", LOOSE["phone"], False, digit),
+        _candidates(t, "secret", LOOSE["secret"], False, digit),
+    ]
+    meets = lambda x, y: (y["start"] < x["end"]) & (x["start"] < y["end"])
+
+    def chosen(found: Column) -> Column:
+        sure, rest = F.filter(found, lambda x: x["strict"]), F.filter(found, lambda x: ~x["strict"])
+        free = let(sure, lambda s: F.filter(rest, lambda x: ~F.exists(s, lambda y: meets(x, y))))
+        first = let(free, lambda f: F.filter(f, lambda x: ~F.exists(f, lambda y: meets(x, y) & ((y["kind"] < x["kind"]) | ((y["kind"] == x["kind"]) & (y["start"] < x["start"]))))))
+        return F.when(F.size(rest) == 0, F.array_sort(found)).otherwise(F.array_sort(F.concat(sure, first)))
+
+    return let(F.concat(*strict, *loose), chosen)
 
 
 @dataclass(frozen=True)
@@ -185,29 +216,33 @@ class SpanModel:
 
 
 def estimate(patterns: list[tuple[int, tuple[int, ...], float]], rounds: int = 100) -> tuple[list[float], tuple]:
-    """Expectation-maximisation over (kind, votes, count): posterior of each pattern, and P(vote | truth) by labeler."""
+    """Expectation-maximisation over (kind, votes, count): posterior of each pattern, and P(vote | truth) by labeler.
+
+    A labeler that abstains says nothing about a span: loose patterns, which vote neither way, aren't taken for bad ones.
+    """
     posterior = []
     for _, votes, _ in patterns:  # start: the majority
         s = sum(votes)
         posterior.append(0.9 if s > 0 else 0.1 if s < 0 else 0.5)
     tables: tuple = ()
     for _ in range(rounds):
-        prior = {k: [1.0, 1.0] for k in range(len(KINDS))}
-        conf = [{(t, v): 0.1 + (3.0 if (t, v) in ((1, FOR), (0, AGAINST)) else 0.3) for t in (0, 1) for v in (FOR, AGAINST, ABSTAIN)} for _ in VOTES]
+        prior = {k: [5.0, 5.0] for k in range(len(KINDS))}
+        conf = [{(t, v): 3.0 if (t == 1) == (v == FOR) else 0.4 for t in (0, 1) for v in (FOR, AGAINST)} for _ in VOTES]
         for (kind, votes, n), p in zip(patterns, posterior):
             prior[kind][1] += n * p
             prior[kind][0] += n * (1 - p)
             for j, v in enumerate(votes):
-                conf[j][1, v] += n * p
-                conf[j][0, v] += n * (1 - p)
-        sums = [{t: sum(c[t, v] for v in (FOR, AGAINST, ABSTAIN)) for t in (0, 1)} for c in conf]
+                if v != ABSTAIN:
+                    conf[j][1, v] += n * p
+                    conf[j][0, v] += n * (1 - p)
+        sums = [{t: c[t, FOR] + c[t, AGAINST] for t in (0, 1)} for c in conf]
         new = []
         for kind, votes, _ in patterns:
-            log = [math.log(prior[kind][t]) + sum(math.log(conf[j][t, v] / sums[j][t]) for j, v in enumerate(votes)) for t in (0, 1)]
+            log = [math.log(prior[kind][t]) + sum(math.log(conf[j][t, v] / sums[j][t]) for j, v in enumerate(votes) if v != ABSTAIN) for t in (0, 1)]
             new.append(1 / (1 + math.exp(max(-700, min(700, log[0] - log[1])))))
         moved = max((abs(a - b) for a, b in zip(new, posterior)), default=0.0)
         posterior = new
-        tables = tuple(tuple(sorted((f"{'true' if t else 'false'}:{v}", round(c[t, v] / s[t], 6)) for t in (0, 1) for v in (FOR, AGAINST, ABSTAIN))) for c, s in zip(conf, sums))
+        tables = tuple(tuple(sorted((f"{'true' if t else 'false'}:{v}", round(c[t, v] / s[t], 6)) for t in (0, 1) for v in (FOR, AGAINST))) for c, s in zip(conf, sums))
         if moved < 1e-9:
             break
     return posterior, tables
@@ -252,7 +287,7 @@ def digest(cands: DataFrame, model: SpanModel, id_col: str = "doc_id") -> DataFr
     base = F.filter("cand", lambda x: x["strict"])
     count = lambda k: F.size(F.filter("cand", lambda x: x["strict"] & (x["kind"] == k))).cast("long")
     kept = F.filter("cand", lambda x: x["strict"] | model.accepts(x))
-    return cands.select(id_col, *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(_written(base), 256).alias("base_sha256"), _written(kept).alias("spans"))
+    return cands.select(id_col, *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:BASE_KINDS])], F.sha2(_written(base), 256).alias("base_sha256"), _written(kept).alias("spans"))
 
 
 def redact(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
