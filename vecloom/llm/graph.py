@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import staged
@@ -52,9 +53,28 @@ def spread(tagged: DataFrame, rows: int) -> DataFrame:
 
 
 def pairs_across(tagged: DataFrame, fits: Callable[[Column, Column], Column], value: str, rows: int | None = None) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes of one bucket and different components whose ``value`` columns fit, with the number n of their common buckets and the greater value."""
+    """Pairs (a, b), a < b, of nodes of one bucket and different components whose ``value`` columns fit: a row for each
+    common bucket, with n = 1 and the greater value.
+
+    Rows of buckets with one ``pivot`` meet in one task (block by block), where an aggregation by pair takes most of its
+    rows together before anything is shuffled; that takes ``partitioned_by_some_keys``.
+    """
     blocks = spread(tagged, rows or BUCKET_ROWS)
-    left = blocks.where("side <> 1").select("key", "x", "y", F.col("node").alias("n0"), F.col("comp").alias("c0"), F.col(value).alias("v0"), F.col("side").alias("s0"))
-    right = blocks.where("side <> 0").select("key", "x", "y", F.col("node").alias("n1"), F.col("comp").alias("c1"), F.col(value).alias("v1"))
-    both = left.join(right, ["key", "x", "y"]).where((F.col("c0") != F.col("c1")) & ((F.col("s0") == 0) | (F.col("n0") < F.col("n1"))) & fits(F.col("v0"), F.col("v1")))
-    return both.groupBy(F.least("n0", "n1").alias("a"), F.greatest("n0", "n1").alias("b")).agg(F.count("*").alias("n"), F.max(F.greatest("v0", "v1")).alias(value))
+    near = ["pivot", "x", "y"]
+    placed = blocks.select(*near, "key", "node", "comp", value, "side").repartition(*near)  # one exchange for both sides of the join
+    left, right = (placed.toDF(*near, "key", f"n{i}", f"c{i}", f"v{i}", f"s{i}") for i in (0, 1))
+    both = left.join(right, [*near, "key"]).where((F.col("s0") * 3 + F.col("s1")).isin(1, 8))  # first and second block, or one block
+    both = both.where((F.col("c0") != F.col("c1")) & ((F.col("s0") < F.col("s1")) | (F.col("n0") < F.col("n1"))) & fits(F.col("v0"), F.col("v1")))
+    return both.select(F.least("n0", "n1").alias("a"), F.greatest("n0", "n1").alias("b"), F.lit(1).cast("long").alias("n"), F.greatest("v0", "v1").alias(value))
+
+
+@contextmanager
+def partitioned_by_some_keys(spark: SparkSession) -> Iterator[None]:
+    """Let joins keep a partitioning by some of their keys, while a table is written."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
