@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import BROADCAST_ROWS, remote, remote1, staged
-from .shingles import _powers, mix
+from .shingles import mix
 
 WINDOW, GRAM = 50, 16
 CHUNK = 1 << 20
@@ -44,6 +44,19 @@ BASE_BITS = 40  # offsets above: which of the rows that repeat a doc_id
 _HASH_BASE = 0x9E6C63D0876A9A47
 PACKED = "bucket int, kind int, n int, data binary"
 BUCKET_BYTES = 8 << 20
+_INVERSE = pow(_HASH_BASE, -1, 1 << 64)
+_power = np.ones(1, np.uint64)
+_inverse = np.ones(1, np.uint64)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the rolling hash's base modulo 2^64, and of its inverse."""
+    global _power, _inverse
+    while len(_power) < n:
+        k = len(_power)
+        _power = np.concatenate([_power, _power * np.uint64(pow(_HASH_BASE, k, 1 << 64))])
+        _inverse = np.concatenate([_inverse, _inverse * np.uint64(pow(_INVERSE, k, 1 << 64))])
+    return _power, _inverse
 
 
 def triggers(raw: np.ndarray) -> np.ndarray:
