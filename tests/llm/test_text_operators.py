@@ -550,6 +550,73 @@ def test_op7_corpus_candidates(spark):
     assert not [i for i in gone if i // 2 not in {r["i"] for r in true}]
 
 
+def test_op7_query_finds_letters_changed_all_over(spark):
+    """The query loses no pair: an edit in every tenth character, so that hardly a word pair is left."""
+    from vecloom.llm import lines as L
+
+    rng = random.Random(21)
+    rows = []
+    for k in range(120):
+        n = rng.randrange(40, 500)
+        base = L.normalise("".join(rng.choice("abcdefgh klmnoprstuvw") for _ in range(n)))
+        chars = list(base)
+        for at in reversed(range(5, int(len(base) * 0.1) * 10, 10)):
+            chars[at : at + 1] = [[], ["x"], [chars[at], "y"]][rng.randrange(3)] if chars[at] != " " else ["z"]
+        if abs(len(chars) - len(base)) <= 3:
+            rows.append((base, L.normalise("".join(chars))))
+    most = [int(max(len(x), len(y)) * 0.1 + 1e-9) for x, y in rows]
+    told = spark.createDataFrame([(2 * i, x, y, d) for i, ((x, y), d) in enumerate(zip(rows, most))], "i long, x string, y string, most int")
+    true = {r["i"] + 1 for r in told.where("levenshtein(x, y, most) >= 0").select("i").collect()}
+    assert len(true) > 50
+    docs = told.selectExpr("i as doc_id", "x as text").union(told.selectExpr("i + 1", "y")).repartition(3)
+    assert {r["doc_id"] for r in L.digest(docs).collect() if r["n_removed"]} == true
+
+
+def test_op7_distances_and_blocks(spark, monkeypatch):
+    """Batched distances against the plain one, and the same groups whatever the size of blocks, slices and steps."""
+    from vecloom.llm import lines as L
+
+    rng = random.Random(22)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    pairs = []
+    for _ in range(400):
+        x = "".join(rng.choice(rng.choice(["ab", "abcdefgé 日"])) for _ in range(rng.randrange(1, 70)))
+        y = list(x)
+        for _ in range(rng.randrange(0, 9)):
+            at = rng.randrange(len(x))
+            y[at : at + 1] = rng.choice([[], ["b"], ["a", "q"]])
+        pairs.append((x, "".join(y) or "a"))
+    want = [distance(x, y) <= int(max(len(x), len(y)) * 0.1 + 1e-9) for x, y in pairs]
+    assert 30 < sum(want) < 370
+    assert L.similar(*map(list, zip(*pairs))).tolist() == want
+    docs = spark.createDataFrame([(i, "\n".join(p)) for i, p in enumerate(pairs)], "doc_id long, text string").repartition(3)
+    whole = sorted(map(tuple, L.dedup(docs).collect()))
+    monkeypatch.setattr(L, "BLOCK_CHARS", 300)  # of the plan; workers keep their own
+    monkeypatch.setattr(L, "TOGETHER", 2)
+    assert sorted(map(tuple, L.dedup(docs).collect())) == whole
+    monkeypatch.setattr(L, "CELLS", 50)
+    assert L.similar(*map(list, zip(*pairs))).tolist() == want
+    lines = sorted({L.normalise(t) for p in pairs for t in p if len(L.normalise(t)) >= 9})
+    ids = np.arange(len(lines))
+    found = {(i, j) for at in L.candidates(lines, ids, lines, ids) for i, j in zip(*(c.tolist() for c in at))}
+    monkeypatch.setattr(L, "CHUNK_CHARS", 40)
+    monkeypatch.setattr(L, "STEP", 5)
+    assert {(i, j) for at in L.candidates(lines, ids, list(lines), ids) for i, j in zip(*(c.tolist() for c in at))} == found
+    for i, x in enumerate(lines):
+        for j, y in enumerate(lines):
+            if abs(len(x) - len(y)) <= 7 and (len(x), i) > (len(y), j) and distance(x, y) <= int(len(x) * 0.1 + 1e-9):
+                assert (i, j) in found, (x, y)
+
+
 def test_op7_buckets_over_batches():
     import pyarrow as pa
 
