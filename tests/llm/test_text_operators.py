@@ -551,7 +551,9 @@ def test_op7_corpus_candidates(spark):
 
 
 def test_op7_query_finds_letters_changed_all_over(spark):
-    """The query loses no pair: an edit in every tenth character, so that hardly a word pair is left."""
+    """The query and the pipeline's stage lose no pair: an edit in every tenth character, so that hardly a word pair is left."""
+    import corpus_pipeline
+
     from vecloom.llm import lines as L
 
     rng = random.Random(21)
@@ -570,6 +572,8 @@ def test_op7_query_finds_letters_changed_all_over(spark):
     assert len(true) > 50
     docs = told.selectExpr("i as doc_id", "x as text").union(told.selectExpr("i + 1", "y")).repartition(3)
     assert {r["doc_id"] for r in L.digest(docs).collect() if r["n_removed"]} == true
+    left = corpus_pipeline.drop_lines(spark, docs.selectExpr("doc_id", "text", "'en' as lang", "'x' as source", "length(text) as n_chars"), "")
+    assert {r["doc_id"] for r in left.collect()} == set(range(2 * len(rows))) - true
 
 
 def test_op7_distances_and_blocks(spark, monkeypatch):
