@@ -621,6 +621,20 @@ def test_op7_distances_and_blocks(spark, monkeypatch):
                 assert (i, j) in found, (x, y)
 
 
+def test_op7_lines_are_looked_up_few_times():
+    """Of 690 million characters each is looked up 2.5 times at most on average, and every two blocks that lengths allow meet once."""
+    from vecloom.llm import lines as L
+
+    lens = np.random.default_rng(23).lognormal(5.5, 0.9, 60_000).astype(np.int64).clip(10, 20_000)
+    chars = np.bincount(L._classes(lens), weights=lens * (690e6 / lens.sum())).astype(np.int64)
+    blocks = L._blocks({c: int(n) for c, n in enumerate(chars) if n})
+    tasks = L._tasks(blocks)
+    assert sum(blocks[o][2] for _, others in tasks for o in others) <= 2.5 * sum(n for _, _, n in blocks)
+    met = [(k, o) for group, others in tasks for k in group for o in others]
+    assert len(met) == len(set(met))
+    assert {(k, o) for k, (low, high, _) in enumerate(blocks) for o, (least, most, _) in enumerate(blocks) if least <= high and most >= low - L.FINE} <= set(met)
+
+
 def test_op7_buckets_over_batches():
     import pyarrow as pa
 
