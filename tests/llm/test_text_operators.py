@@ -193,6 +193,45 @@ def test_op2_passages(spark, docs, empty):
     assert out[43]["text"] == "" and out[40]["text"] is None and out[0]["text"] == TEXTS[0] and out[43]["regs"] == "x"
 
 
+def test_op2_compares_only_what_can_share_a_window():
+    """Phrases of two documents with a common trigger are compared if they share a window, whatever repeats in them, and hardly else."""
+    from vecloom.llm import pfp
+
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(40)]
+    texts = []
+    for k in range(300):  # two words in a row are often in other texts, four hardly ever
+        texts.append(" ".join(rng.choice(words) for _ in range(40)))
+        if k % 10 == 9:
+            at = rng.randrange(200)
+            texts[-1] = texts[-1][:at] + texts[k - 5][at : at + rng.choice([49, 50, 51, 70, 120])] + texts[-1][at + 100 :]
+        if k % 25 == 24:
+            texts[-1] = texts[-1][:60] + rng.choice(["ab", "abc", "z"]) * 60 + texts[-1][60:]
+    raw = [t.encode() for t in texts]
+    first = {}
+    for d, t in enumerate(raw):
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], d)
+    want = {(d, p) for d, t in enumerate(raw) for p in range(len(t) - 49) if first[t[p : p + 50]] < d}
+    ends = np.cumsum([len(t) for t in raw])
+    trigger, content, doc, start, windows, before, after = pfp.parse(np.frombuffer(b"".join(raw), np.uint8), ends - [len(t) for t in raw], ends)
+    order, new, new_t, covered = pfp._collapse(trigger, content, doc)
+    group = np.cumsum(new_t) - 1
+    doc, start, windows, before, after = (c[order] for c in (doc, start, windows, before, after))
+    found = {(int(d), int(s) + k) for d, s, w in zip(doc[covered], start[covered], windows[covered]) for k in range(w)}
+    at = np.flatnonzero(~covered)
+    may = at[pfp._may_share(group[at], doc[at], before[at], after[at])]
+    held = {}
+    for g, d, s, w in zip(*(c[may].tolist() for c in (group, doc, start, windows))):
+        for k in range(w):
+            held.setdefault((g, raw[d][s + k : s + k + 50]), []).append((d, s + k))
+    found |= {x for same in held.values() for x in same if x[0] > min(same)[0]}
+    assert want and found == want
+    several = np.bincount(group[new]) > 1
+    low, high = (np.array([f(doc[group == g]) for g in range(group.max() + 1)]) for f in (np.min, np.max))
+    assert len(may) < 0.7 * (~covered & (several & (low != high))[group]).sum()
+
+
 def test_op2_repeated_ids_and_null_ids(spark):
     from vecloom.llm import pfp
 

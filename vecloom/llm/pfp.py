@@ -9,7 +9,8 @@ never share a window, and the corpus is sorted out trigger by trigger:
    (one document per phrase and task) is packed and shuffled by trigger, so a phrase in a third of all documents
    weighs no more than the number of tasks.
 2. Per trigger, equal phrases of different documents are settled by the least document. Where a trigger has different phrases (ends of
-   passages, changed words), these make the dictionary to be compared.
+   passages, changed words), these make the dictionary to be compared, but for those that cannot share a window: a window holds the
+   trigger's 16 bytes and 34 others, so 17 of these on one side, and both phrases must have the same ones there (``SIDE``).
 3. The dictionary's bytes are fetched, and its suffix array is built to the depth that matters: ranks of 8, 16, 32, then 50 bytes by
    doubling. Equal ranks are equal 50-byte strings; the least document of each covers the others.
 4. Covered ranges are merged per document and cut out.
@@ -37,6 +38,7 @@ from ..runtime import BROADCAST_ROWS, remote, remote1, staged
 from .shingles import mix
 
 WINDOW, GRAM = 50, 16
+SIDE = (WINDOW - GRAM + 1) // 2  # bytes before or after the trigger that two phrases with a common window share
 CHUNK = 1 << 20
 FLUSH = 1_200_000
 LONGEST = 4096  # windows in a phrase
@@ -59,26 +61,32 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power, _inverse
 
 
-def triggers(raw: np.ndarray) -> np.ndarray:
-    """For each 50-byte window the least rolling-hash value within it."""
+def triggers(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each 50-byte window the least rolling-hash value within it; these values at each place."""
     h, s = raw.astype(np.uint64) + np.uint64(1), 1
     while s < GRAM:
         h = h[:-s] * np.uint64(pow(_HASH_BASE, s, 1 << 64)) + h[s:]
         s *= 2
     h, s, n = mix(h), 1, WINDOW - GRAM + 1
+    each = h
     while 2 * s <= n:
         h = np.minimum(h[:-s], h[s:])
         s *= 2
-    return np.minimum(h[: len(h) - (n - s)], h[n - s :]) if n > s else h
+    return np.minimum(h[: len(h) - (n - s)], h[n - s :]) if n > s else h, each
 
 
 def parse(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Phrases of texts at [starts, ends) of ``raw``: trigger, content hash, text number, offset in the text, windows."""
+    """Phrases of texts at [starts, ends) of ``raw``: trigger, content hash, text number, offset in the text, windows, and hashes of
+    the trigger with SIDE bytes before it and with SIDE bytes after it.
+
+    A side that goes beyond the phrase is 0. Both are 0 where the trigger's value is in the phrase more than once, so that another
+    place may count in a window: such phrases are compared with all of their trigger.
+    """
     none = np.empty(0, np.int64)
     long_enough = np.flatnonzero(ends - starts >= WINDOW)
     if not len(long_enough):
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
-    value = triggers(raw)
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none.astype(np.uint32), none.astype(np.uint32)
+    value, each = triggers(raw)
     begin, stop = starts[long_enough], ends[long_enough] - WINDOW + 1  # windows of each text
     edge = np.zeros(len(value) + 1, np.int8)
     np.add.at(edge, begin, 1)
@@ -101,8 +109,22 @@ def parse(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     sums[0] = 0
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
     content = mix((sums[at + windows + WINDOW - 1] - sums[at]) * inverse[at] + windows.astype(np.uint64))
+    places = np.lib.stride_tricks.sliding_window_view(each, WINDOW - GRAM + 1)
+    place, once = np.empty(len(at), np.int64), np.empty(len(at), bool)
+    for k in range(0, len(at), 1 << 14):
+        some = places[at[k : k + (1 << 14)]] == value[at[k : k + (1 << 14)], None]
+        place[k : k + (1 << 14)] = some.argmax(axis=1)
+        once[k : k + (1 << 14)] = some.sum(axis=1) == 1
+    once &= windows <= place + 1  # all windows hold this place
+    place += at
+    sides = []
+    for low, high in ((place - SIDE, place + GRAM), (place, place + GRAM + SIDE)):
+        inside = once & (low >= at) & (high <= at + windows + WINDOW - 1)
+        low, high = np.where(inside, low, 0), np.where(inside, high, 0)
+        side = (mix((sums[high] - sums[low]) * inverse[low]) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        sides.append(np.where(inside, side, np.uint32(0)))
     # Minima are small numbers: mixed again, their high bits spread over the buckets.
-    return mix(value[at]), content, long_enough[text], at - starts[long_enough[text]], windows
+    return mix(value[at]), content, long_enough[text], at - starts[long_enough[text]], windows, *sides
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -121,7 +143,7 @@ def _unpack(data: bytes, n: int, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-_PHRASE = (np.uint64, np.uint64, np.int64, np.int64, np.int32)
+_PHRASE = (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.uint32, np.uint32)
 _RANGE = (np.int64, np.int64, np.int64)
 _REQUEST = (np.int64, np.int64, np.int32, np.int32)
 PHRASES, RANGES, REQUESTS = 0, 1, 2
@@ -170,14 +192,15 @@ def parse_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.R
 
     def flush() -> pa.RecordBatch:
         nonlocal size
-        trigger, content, doc, start, windows = (np.concatenate(c) for c in zip(*held))
+        trigger, content, doc, start, windows, before, after = (np.concatenate(c) for c in zip(*held))
         held.clear()
         size = 0
         order, _, _, covered = _collapse(trigger, content, doc)
-        trigger, content, doc, start, windows = (x[order] for x in (trigger, content, doc, start, windows))
+        trigger, content, doc, start, windows, before, after = (x[order] for x in (trigger, content, doc, start, windows, before, after))
         keep = ~covered
         bucket = (trigger >> np.uint64(64 - bits)).astype(np.int32)
-        out = list(_by_bucket(bucket[keep], PHRASES, _low48(trigger[keep]), _low48(content[keep]), doc[keep], start[keep], windows[keep].astype(np.int32)))
+        columns = (_low48(trigger), _low48(content), doc, start, windows.astype(np.int32), before, after)
+        out = list(_by_bucket(bucket[keep], PHRASES, *(c[keep] for c in columns)))
         if covered.any():
             d, s, e = merged(doc[covered], start[covered], start[covered] + windows[covered] + WINDOW - 1)
             out += _by_bucket(_doc_bucket(d, 1 << bits), RANGES, d, s, e)
@@ -197,10 +220,10 @@ def parse_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.R
                 spans = [(x, min(b, x + CHUNK + WINDOW - 1)) for x in range(a, max(a + 1, b - WINDOW + 1), CHUNK)]
             for a, b in spans:
                 starts, ends = (offsets[i:j] - a, offsets[i + 1 : j + 1] - a) if len(spans) == 1 else (np.zeros(1, np.int64), np.array([b - a]))
-                trigger, content, text, start, windows = parse(raw[a:b], starts, ends)
+                trigger, content, text, start, windows, before, after = parse(raw[a:b], starts, ends)
                 shift = a - int(offsets[i]) if len(spans) > 1 else 0
                 if len(trigger):
-                    held.append((trigger, content, ids[i + text].astype(np.int64), start + shift + (bases[i + text].astype(np.int64) << BASE_BITS), windows))
+                    held.append((trigger, content, ids[i + text].astype(np.int64), start + shift + (bases[i + text].astype(np.int64) << BASE_BITS), windows, before, after))
                     size += len(trigger)
                     if size >= FLUSH:
                         yield flush()
@@ -232,6 +255,20 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[at], start[at], reach[np.concatenate([at[1:] - 1, [len(doc) - 1]])]
 
 
+def _may_share(group: np.ndarray, doc: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Which phrases may have a window in common with one of another document: a side of the trigger is the same, or some phrase of the trigger has no sides."""
+    keep = np.isin(group, group[(before == 0) & (after == 0)])
+    for side in (before, after):
+        some = np.flatnonzero(side)
+        if len(some):
+            order = some[np.lexsort((side[some], group[some]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (group[order[1:]] != group[order[:-1]]) | (side[order[1:]] != side[order[:-1]])
+            low, high = (f(doc[order], np.flatnonzero(new)) for f in (np.minimum.reduceat, np.maximum.reduceat))
+            keep[order] |= (low != high)[np.cumsum(new) - 1]
+    return keep
+
+
 def settle_bucket(table: pa.Table, bits: int) -> pa.Table:
     """One trigger bucket: ranges covered by equal phrases, and requests for the phrases that need comparing."""
     out, parts = [], []
@@ -241,9 +278,9 @@ def settle_bucket(table: pa.Table, bits: int) -> pa.Table:
         else:
             out.append((bucket, kind, n, data))
     if parts:
-        trigger, content, doc, start, windows = (np.concatenate(c) for c in zip(*parts))
+        trigger, content, doc, start, windows, before, after = (np.concatenate(c) for c in zip(*parts))
         order, new, new_t, covered = _collapse(trigger, content, doc)
-        doc, start, windows = doc[order], start[order], windows[order].astype(np.int64)
+        doc, start, windows, before, after = doc[order], start[order], windows[order].astype(np.int64), before[order], after[order]
         d, s, e = merged(doc[covered], start[covered], start[covered] + windows[covered] + WINDOW - 1)
         out += _by_bucket(_doc_bucket(d, 1 << bits), RANGES, d, s, e)
         group = np.cumsum(new_t) - 1
@@ -252,6 +289,7 @@ def settle_bucket(table: pa.Table, bits: int) -> pa.Table:
         # A trigger whose phrases all stand in one document covers nothing.
         low, high = (f(doc, np.flatnonzero(new_t)) for f in (np.minimum.reduceat, np.maximum.reduceat))
         at = at[(low != high)[group[at]]]
+        at = at[_may_share(group[at], doc[at], before[at], after[at])]
         bucket = table.column("bucket")[0].as_py()
         out += _by_bucket(_doc_bucket(doc[at], 1 << bits), REQUESTS, doc[at], start[at], windows[at].astype(np.int32), np.full(len(at), bucket, np.int32))
     return pa.Table.from_batches([_rows(out)])
