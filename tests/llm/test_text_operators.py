@@ -674,6 +674,25 @@ def test_op7_lines_are_looked_up_few_times():
     assert {(k, o) for k, (low, high, _) in enumerate(blocks) for o, (least, most, _) in enumerate(blocks) if least <= high and most >= low - L.FINE} <= set(met)
 
 
+def test_op7_blocks_of_many_parts_stay_compressed():
+    """Where a length class has many blocks, its lines still lie together there, each line once, and compressed."""
+    from vecloom.llm import lines as L
+
+    rng = random.Random(24)
+    words = [w + v for w in WORDS for v in ("", "s", "ing")]
+    norms = sorted({" ".join(rng.choice(words) for _ in range(30))[:120] for _ in range(6000)})
+    keys = [i.to_bytes(8, "little") * 2 for i in range(len(norms))]
+    same = np.full(len(norms) // 60, 7, np.int32)
+    rows = [L._packed(keys[i : i + len(same)], norms[i : i + len(same)], same[: len(norms[i : i + len(same)])]) for i in range(0, len(norms), len(same))]
+    out = [r for batch in L.split_batches(iter(rows), [(7, 7, 1)] * 30) for r in batch.to_pylist()]
+    assert sorted(r["part"] for r in out) == list(range(30))
+    found = {}
+    for r in out:
+        found.update(zip(*L._unpacked(r["size"], r["keys"], r["norms"])))
+    assert found == dict(zip(keys, norms)) and sum(len(r["keys"]) for r in out) == 16 * len(keys)
+    assert sum(len(r["norms"]) for r in out) < 0.5 * sum(map(len, norms))
+
+
 def test_op7_buckets_over_batches():
     import pyarrow as pa
 
