@@ -693,6 +693,18 @@ def test_op7_blocks_of_many_parts_stay_compressed():
     assert sum(len(r["norms"]) for r in out) < 0.5 * sum(map(len, norms))
 
 
+def test_workers_give_tables_of_other_modules_back():
+    """A worker that goes on to another operator doesn't keep what it had loaded for the one before."""
+    from vecloom import runtime
+    from vecloom.llm import packing
+
+    packing._LOADED["none"] = None
+    list(runtime.called("vecloom.llm.packing", "place_batches", (iter(()), []), {}))
+    assert packing._LOADED
+    list(runtime.called("vecloom.llm.lines", "line_batches", (iter(()),), {}))
+    assert not packing._LOADED
+
+
 def test_op7_buckets_over_batches():
     import pyarrow as pa
 
