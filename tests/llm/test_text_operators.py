@@ -660,6 +660,66 @@ def test_op7_distances_and_blocks(spark, monkeypatch):
                 assert (i, j) in found, (x, y)
 
 
+def test_op7_few_candidates_in_prose():
+    """Lines that have phrases in common but nothing else are no candidates; similar ones are, at the limit too, and joined ones aren't sought again."""
+    from vecloom.llm import lines as L
+
+    rng = random.Random(25)
+    phrases = [" ".join("".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randrange(4, 9))) for _ in range(3)) for _ in range(60)]
+    made = [" ".join(rng.choice(phrases) for _ in range(15)) for _ in range(600)]
+    near = []
+    for k in range(60):
+        chars = list(made[k])
+        for at in range(5, len(chars) // 10 * 10, 10):
+            chars[at] = "y"
+        near.append("".join(chars))
+    lines = made + near
+    ids = np.arange(len(lines))
+    alike = [(i, j) if (len(lines[i]), i) > (len(lines[j]), j) else (j, i) for j, i in enumerate(range(600, 660))]
+    assert L.similar([lines[i] for i, _ in alike], [lines[j] for _, j in alike]).all()
+    found = {(i, j) for at in L.candidates(lines, ids, lines, ids) for i, j in zip(*(c.tolist() for c in at))}
+    assert set(alike) <= found and len(found) < 1000
+    assert not list(L.Segments(lines, ids).near(lines, ids, 0, lambda i, j: np.ones(len(i), bool)))
+
+
+def test_op7_few_long_lines_whole(monkeypatch):
+    """Few long lines are held each against each: all similar pairs are among the candidates, as with marks, and few others."""
+    from vecloom.llm import lines as L
+
+    rng = random.Random(27)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randrange(2, 9)))
+    lines = []
+    for _ in range(30):
+        base = " ".join(word() for _ in range(rng.randrange(250, 400)))
+        lines.append(base)
+        for share in (0.05, 0.09, 0.1, 0.2):
+            chars = list(base)
+            for at in sorted(rng.sample(range(len(base)), int(share * len(base))), reverse=True):
+                chars[at : at + 1] = rng.choice([[], ["x"], [chars[at], "y"]])
+            lines.append("".join(chars))
+    ids = np.arange(len(lines))
+    x, y = (c.tolist() for c in np.nonzero(np.ones((len(lines), len(lines)))))
+    some = [(i, j) for i, j in zip(x, y) if (len(lines[i]), i) > (len(lines[j]), j) and i // 5 == j // 5]
+    alike = {p for p, same in zip(some, L.similar([lines[i] for i, _ in some], [lines[j] for _, j in some])) if same}
+    assert min(map(len, lines)) > L.LONG and len(alike) > 40
+    for share in (L.WHOLE, 0):
+        monkeypatch.setattr(L, "WHOLE", share)
+        found = {(i, j) for at in L.candidates(lines, ids, list(lines), ids) for i, j in zip(*(c.tolist() for c in at))}
+        assert alike <= found and len(found) <= len(some)
+
+
+def test_op7_lines_of_a_text():
+    """Texts are normalised at once, as line by line: sigma, ligatures, digits, marks and separators of several scripts."""
+    from vecloom.llm import lines as L
+
+    rng = random.Random(26)
+    some = list("aB cΣσİß9٣²½_-,.\t\r\x0b\x1c\x85\u2028\xa0  \n«»é日\u0301\x00\x7f①Ⅷ0") + [chr(rng.randrange(160, 0xD800)) for _ in range(60)]
+    for n in (30, 400):
+        for _ in range(2000):
+            text = "".join(rng.choice(some) for _ in range(rng.randrange(n)))
+            assert L.normal_lines(text) == [L.normalise(line) for line in text.split("\n")], repr(text)
+
+
 def test_op7_lines_are_looked_up_few_times():
     """Of 690 million characters each is looked up 2.5 times at most on average, and every two blocks that lengths allow meet once."""
     from vecloom.llm import lines as L
