@@ -189,3 +189,45 @@ def test_codebook_gain_against_numpy(spark):
         gauss, own = mse(centres, bounds), mse(points, (points[:-1] + points[1:]) / 2)
         assert row["gaussian_mse"] == pytest.approx(gauss, rel=1e-6) and row["empirical_mse"] == pytest.approx(own, rel=1e-5)
         assert row["gain_percent"] == pytest.approx(100 * (gauss - own) / gauss, abs=0.01)
+
+
+def _made(mode, n, seed):
+    """Decoded codes, or what the mode takes, of vectors of very different norms, with copies and zeros."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, 12)) * 10.0 ** rng.integers(-3, 4, (n, 1))
+    x[n // 2 : n // 2 + 20], x[3] = x[:20], 0
+    return x, K.operand(SPACE, mode, x if mode == "exact" else K.decode(SPACE, K.encode(SPACE, x)))
+
+
+def test_all_pairs_leave_in_tiles():
+    """However many queries there are, no batch and no matrix is larger than a tile."""
+    _, side = _made("full", 3000, 5)
+    some = np.arange(700)
+    work = D.All([], ["dist"], np.arange(3000), [side])
+    batches = list(work.add(some, [side.rows(some)]))
+    assert max(b.num_rows for b in batches) <= D.TILE
+    assert sum(b.num_rows for b in batches) == 3000 * 700
+    assert len({(q, v) for b in batches[:2] for q, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}) == sum(b.num_rows for b in batches[:2])
+
+
+@pytest.mark.parametrize("mode", ["asym", "sym", "light", "full", "exact"])
+def test_screened_searches_against_all_pairs(mode, monkeypatch):
+    """Products in single precision leave no pair out, and copies are ranked by their ids."""
+    monkeypatch.setattr(D, "STRIP", 96)
+    monkeypatch.setattr(D, "TILE", 5000)
+    x, right = _made(mode, 900, 6)
+    left = K.operand(SPACE, mode, K.prepare(SPACE, x)) if mode == "asym" else right
+    ids = np.random.default_rng(7).permutation(900)
+    i, j = np.divmod(np.arange(900 * 900), 900)
+    dist = K.of_pairs(left, right, i, j)
+    np.testing.assert_allclose(K.tile(left, right).reshape(-1), dist, rtol=1e-9, atol=1e-9 * (left.square[i] + right.square[j] + 1).max())
+    for limit in (0.0, 1.0, float(np.median(dist))):
+        got = [b for b in D.Within([], limit, True, ids, [left]).add(ids, [right])]
+        got = sorted((q, v, t) for b in got for q, v, t in zip(*(c.to_pylist() for c in b.columns)))
+        at = (dist <= limit) & (ids[i] < ids[j])
+        assert got == sorted(zip(ids[i[at]].tolist(), ids[j[at]].tolist(), dist[at].tolist()))
+    work = D.Nearest([], 4, True, ids, [left])
+    for at in range(0, 900, 300):
+        list(work.add(ids[at : at + 300], [right.rows(slice(at, at + 300))]))
+    order = np.lexsort((ids[j], np.where(i == j, np.inf, dist), i)).reshape(900, 900)[:, :4]
+    assert (work.near == ids[j[order]]).all() and (work.dist == dist[order]).all()
