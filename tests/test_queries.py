@@ -47,3 +47,9 @@ def test_whole_query_set(spark):
     found = QUERIES["exact_l2_topk_whole"](spark, DATA).collect()
     assert {(r["query_id"], r["rank"]) for r in found} == {(q, k) for q in ids if q % 100 == 0 for k in range(1, 11)}
     assert {r["vec_id"] for r in QUERIES["decode_values_whole"](spark, DATA).select("vec_id").distinct().collect()} == ids
+
+
+@pytest.mark.parametrize("name", ["rmse_by_mode_whole", "compare_modes_whole"])
+def test_estimates_side_by_side_without_a_shuffle_of_pairs(spark, name):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning(query_id" not in plan
