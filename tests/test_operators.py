@@ -231,3 +231,24 @@ def test_screened_searches_against_all_pairs(mode, monkeypatch):
         list(work.add(ids[at : at + 300], [right.rows(slice(at, at + 300))]))
     order = np.lexsort((ids[j], np.where(i == j, np.inf, dist), i)).reshape(900, 900)[:, :4]
     assert (work.near == ids[j[order]]).all() and (work.dist == dist[order]).all()
+
+
+def test_codebook_rounds_need_no_job(spark, monkeypatch):
+    """The values are sorted once; places and sums come from the blocks that hold a bound, also if few can be held."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.standard_normal(5000), np.full(700, 0.25), rng.standard_normal(300) * 50])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "value double")
+    monkeypatch.setattr(A, "BLOCK_VALUES", 64)
+    monkeypatch.setattr(A, "HELD_VALUES", 640)
+    values = A.SortedValues(df, "value")
+    bounds = np.concatenate([[-1e9, 1e9, 0.25, x.min(), x.max()], rng.standard_normal(20)])
+    for some in (bounds[:7], bounds[7:]):
+        n, total = values.below(some)
+        assert n.tolist() == [int((x <= b).sum()) for b in some]
+        np.testing.assert_allclose(total, [x[x <= b].sum() for b in some], atol=1e-9)
+    np.testing.assert_allclose(values.quantiles([0.0, 0.1, 0.5, 0.77, 1.0]), np.percentile(x, [0, 10, 50, 77, 100]))
+    monkeypatch.undo()
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    before = jobs()
+    A.codebook_gain(df, range(3, 6)).collect()
+    assert jobs() - before < 20

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.space import Space
 from ..runtime import remote, staged
+from .distances import staged_batches
 
-#: Values of a sorted block.
-BLOCK_VALUES = 1 << 20
+#: Values of a sorted block, and of the blocks that the driver holds.
+BLOCK_VALUES, HELD_VALUES = 1 << 10, 1 << 25
 
 
 def recall(found: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 10, 100)) -> DataFrame:
@@ -183,63 +184,127 @@ def empirical_codebook(df: DataFrame, bits: int, value: str = "value", init: str
     return points
 
 
-def sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Values to rows of sorted doubles, at most BLOCK_VALUES to a row."""
-    held, n = [], 0
+def sorted_blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Sorted values of a range to blocks of ``rows``: (range, number, n, total, least, most, block), the block as doubles."""
+    from pyspark import TaskContext
+
+    part, number, held, n = TaskContext.get().partitionId(), 0, [], 0
+
+    def made(values: np.ndarray) -> pa.RecordBatch:
+        row = [part, number, len(values), float(values.sum()), float(values[0]), float(values[-1]), values.tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary()))], ["part", "number", "n", "total", "least", "most", "block"])
+
     for batch in batches:
         held.append(batch.column(0).to_numpy(zero_copy_only=False))
         n += len(held[-1])
-        if n >= BLOCK_VALUES:
-            yield pa.RecordBatch.from_arrays([pa.array([np.sort(np.concatenate(held)).tobytes()], pa.binary())], ["block"])
-            held, n = [], 0
+        if n >= rows:
+            values = np.concatenate(held)
+            for at in range(0, n - n % rows, rows):
+                yield made(values[at : at + rows])
+                number += 1
+            held, n = [values[n - n % rows :].copy()], n % rows
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array([np.sort(np.concatenate(held)).tobytes()], pa.binary())], ["block"])
-
-
-def level_sums(batches: Iterator[pa.RecordBatch], books: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """(book, level, n, total, error) of each block under (centroids, boundaries); a value on a boundary is in the level below."""
+        yield made(np.concatenate(held))
+
+
+class SortedValues:
+    """A column in order: the driver has a row for each block of BLOCK_VALUES values, and of the values themselves only blocks that it looks into,
+    at most HELD_VALUES at a time. So a place or a sum below any bound is exact and needs no job."""
+
+    def __init__(self, df: DataFrame, value: str):
+        spark = df.sparkSession
+        values = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("value"))
+        ranges = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        ordered = values.repartitionByRange(ranges, "value").sortWithinPartitions("value")
+        self.blocks = staged(ordered.mapInArrow(remote(sorted_blocks, BLOCK_VALUES), "part int, number int, n long, total double, least double, most double, block binary"), "blocks")
+        rows = self.blocks.drop("block").toArrow().sort_by([("least", "ascending"), ("part", "ascending"), ("number", "ascending")])
+        self.at = list(zip(rows["part"].to_pylist(), rows["number"].to_pylist()))
+        n, total, self.most = (rows[c].to_numpy() for c in ("n", "total", "most"))
+        self.before, self.total = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0.0], np.cumsum(total)])
+        self.n = int(self.before[-1])
+        self.held: dict[int, np.ndarray] = {}
+
+    def _fetch(self, wanted: np.ndarray) -> None:
+        """Have the blocks, and as many around them as there is room for: bounds move little from round to round."""
+        if all(k in self.held for k in wanted.tolist()):
+            return
+        room = HELD_VALUES // BLOCK_VALUES
+        reach = max(0, (room // 2 // max(1, len(wanted)) - 1) // 2)
+        near = np.unique(np.clip(wanted[:, None] + np.arange(-reach, reach + 1), 0, len(self.at) - 1))
+        if len(self.at) <= room:
+            near = np.arange(len(self.at))
+        if len(self.held) + len(near) > room:
+            self.held = {k: v for k, v in self.held.items() if k in set(near.tolist())}
+        missing = [k for k in near.tolist() if k not in self.held]
+        number = {self.at[k]: k for k in missing}
+        for batch in staged_batches(self.blocks._staged_at, 256) if missing else ():
+            found = [number.get(x) for x in zip(*(batch.column(c).to_pylist() for c in ("part", "number")))]
+            for row, k in enumerate(found):
+                if k is not None:
+                    self.held[k] = np.frombuffer(batch.column("block")[row].as_py(), np.float64)
+
+    def below(self, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, sum) of the values up to each bound."""
+        block = np.searchsorted(self.most, bounds, "right")  # the first that reaches beyond the bound
+        inside = block < len(self.at)
+        n, total = self.before[block].copy(), self.total[block].copy()
+        self._fetch(np.unique(block[inside]))
+        for k in np.flatnonzero(inside).tolist():
+            values = self.held[int(block[k])]
+            at = int(np.searchsorted(values, bounds[k], "right"))
+            n[k] += at
+            total[k] += values[:at].sum()
+        return n, total
+
+    def quantiles(self, qs: list[float]) -> np.ndarray:
+        """By linear interpolation."""
+        place = np.array(qs) * (self.n - 1)
+        low = np.floor(place).astype(np.int64)
+        both = np.stack([low, np.minimum(low + 1, self.n - 1)])
+        block = np.searchsorted(self.before, both, "right") - 1
+        self._fetch(np.unique(block))
+        values = np.array([[self.held[k][i - self.before[k]] for k, i in zip(row.tolist(), at.tolist())] for row, at in zip(block, both)])
+        return values[0] + (values[1] - values[0]) * (place - low)
+
+
+def level_errors(batches: Iterator[pa.RecordBatch], books: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """(book, n, error): squared errors of a task's values under (centroids, boundaries); a value on a boundary is in the level below."""
+    n, errors = 0, dict.fromkeys(books, 0.0)
     for batch in batches:
-        for block in batch.column(0):
-            values = np.frombuffer(block.as_buffer(), np.float64)
-            sums = np.concatenate([[0.0], np.cumsum(values)])
+        for at in range(0, batch.num_rows, 128):
+            values = np.frombuffer(b"".join(batch.column(0).slice(at, 128).to_pylist()), np.float64)
+            n += len(values)
             for book, (points, bounds) in books.items():
-                cuts = np.concatenate([[0], np.searchsorted(values, bounds, "right"), [len(values)]])
-                errors = np.concatenate([[0.0], np.cumsum((values - np.repeat(points, np.diff(cuts))) ** 2)])
-                columns = [np.full(len(points), book, np.int32), np.arange(len(points), dtype=np.int32), np.diff(cuts), np.diff(sums[cuts]), np.diff(errors[cuts])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["book", "level", "n", "total", "error"])
-
-
-def _sums(blocks: DataFrame, books: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
-    """Of each book an array (levels, 3): n, total, error. The driver gets a row per level."""
-    found = blocks.mapInArrow(remote(level_sums, books), "book int, level int, n long, total double, error double")
-    out = {b: np.zeros((len(p), 3)) for b, (p, _) in books.items()}
-    for r in found.groupBy("book", "level").agg(F.sum("n"), F.sum("total"), F.sum("error")).collect():
-        out[r[0]][r[1]] = r[2:]
-    return out
+                gap = values - points[np.searchsorted(bounds, values, "left")]
+                errors[book] += float(gap @ gap)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(list(errors), pa.int32()), pa.array([n] * len(errors), pa.int64()), pa.array(list(errors.values()), pa.float64())], ["book", "n", "error"])
 
 
 def codebook_gain(df: DataFrame, bits_range: range, value: str = "value", rounds: int = 200, tol: float = 1e-8) -> DataFrame:
     """(bits, gaussian_mse, empirical_mse, gain_percent) for each number of level bits.
 
     Lloyd's iteration from the inner points of an even grid of quantiles, until no centroid moves by ``tol``, at most ``rounds``
-    rounds; codebooks are rounded to single precision. All numbers of bits share a round's pass over the sorted blocks.
+    rounds; codebooks are rounded to single precision. The values are sorted once; a round needs the places of the boundaries
+    among them, which the driver finds in the few blocks that hold one.
     """
     from ..functions.space import lloyd_max
 
-    blocks = staged(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("value")).mapInArrow(remote(sorted_blocks), "block binary"), "blocks")
-    grids = {bits: [(j + 1) / ((1 << bits) + 1) for j in range(1 << bits)] for bits in bits_range}
-    every = sorted({q for qs in grids.values() for q in qs})
-    at = dict(zip(every, df.agg(F.percentile(value, F.array(*map(F.lit, every))).alias("p")).first()["p"] or ()))
-    if not at:
+    values = SortedValues(df, value)
+    if not values.n:
         return df.sparkSession.createDataFrame([], "bits int, gaussian_mse double, empirical_mse double, gain_percent double")
-    books = {bits: np.array([at[q] for q in qs]) for bits, qs in grids.items()}
+    books = {bits: values.quantiles([(j + 1) / ((1 << bits) + 1) for j in range(1 << bits)]) for bits in bits_range}
     middles = lambda points: (points[:-1] + points[1:]) / 2
     moving = set(books)
     for _ in range(rounds):
         if not moving:
             break
-        for bits, sums in _sums(blocks, {b: (books[b], middles(books[b])) for b in sorted(moving)}).items():
-            fresh = np.where(sums[:, 0] > 0, sums[:, 1] / np.maximum(sums[:, 0], 1), books[bits])
+        order = sorted(moving)
+        found = values.below(np.concatenate([middles(books[b]) for b in order]))
+        cuts = np.cumsum([0] + [len(books[b]) - 1 for b in order])
+        for bits, at, to in zip(order, cuts, cuts[1:]):
+            n, total = (np.diff(np.concatenate([[0], x[at:to], [whole[-1]]])) for x, whole in zip(found, (values.before, values.total)))
+            fresh = np.where(n > 0, total / np.maximum(n, 1), books[bits])
             if np.abs(fresh - books[bits]).max() < tol:
                 moving.discard(bits)
             else:
@@ -250,7 +315,8 @@ def codebook_gain(df: DataFrame, bits_range: range, value: str = "value", rounds
         bounds, centres = lloyd_max(bits)
         both[2 * bits] = single(centres), single(bounds)
         both[2 * bits + 1] = single(points), single(middles(points))
-    mse = {b: sums[:, 2].sum() / sums[:, 0].sum() for b, sums in _sums(blocks, both).items()}
+    errors = values.blocks.select("block").mapInArrow(remote(level_errors, both), "book int, n long, error double").groupBy("book").agg(F.sum("error") / F.sum("n"))
+    mse = dict(map(tuple, errors.collect()))
     out = [(b, float(mse[2 * b]), float(mse[2 * b + 1]), float(100 * (mse[2 * b] - mse[2 * b + 1]) / mse[2 * b])) for b in books]
     return df.sparkSession.createDataFrame(out, "bits int, gaussian_mse double, empirical_mse double, gain_percent double")
 
