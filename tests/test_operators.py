@@ -252,3 +252,24 @@ def test_codebook_rounds_need_no_job(spark, monkeypatch):
     before = jobs()
     A.codebook_gain(df, range(3, 6)).collect()
     assert jobs() - before < 20
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_rank_correlation_over_pairs_without_a_shuffle_of_pairs(spark, monkeypatch, copies):
+    """As the sorted pairs give it; copies tie."""
+    from vecloom.operators import ranks as R
+
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((600, 32)).astype("f4")
+    if copies:
+        x[150:160] = x[:10]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").withColumn("short", F.slice("embedding", 1, 24)).repartition(3)
+    queries = df.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    kinds = {c: (None, "exact", c, c) for c in ("embedding", "short")}
+    want = A.spearman(D.side_by_side(queries, df, kinds).where("query_id <> vec_id"), "embedding", "short").first()
+    with monkeypatch.context() as m:
+        m.setattr(A, "spearman", lambda *_: pytest.fail("pairs were sorted"))
+        got = R.spearman_of_pairs(queries, df, "embedding", "short").first()
+    assert got["n"] == want["n"] == 200 * 599 and got["rho"] == pytest.approx(want["rho"], abs=1e-9)
+    monkeypatch.setattr(R, "LEAST", 0.0)
+    assert R.spearman_of_pairs(queries, df, "embedding", "short").first()["rho"] == pytest.approx(want["rho"], abs=1e-12)
