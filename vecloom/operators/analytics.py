@@ -234,7 +234,8 @@ class SortedValues:
         if len(self.at) <= room:
             near = np.arange(len(self.at))
         if len(self.held) + len(near) > room:
-            self.held = {k: v for k, v in self.held.items() if k in set(near.tolist())}
+            kept = set(near.tolist())
+            self.held = {k: v for k, v in self.held.items() if k in kept}
         missing = [k for k in near.tolist() if k not in self.held]
         number = {self.at[k]: k for k in missing}
         for batch in staged_batches(self.blocks._staged_at, 256) if missing else ():
